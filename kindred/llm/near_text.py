@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from .store import components, written
 from .words import SPACED, distinct_by_text, mixed, shingles_of, text_chunks, words_of
@@ -277,7 +278,7 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = 10)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(at)], names)
 
     names = [*docs.columns, "may_be_gone"]
-    schema = docs.schema.add("may_be_gone", "boolean")
+    schema = StructType([*docs.schema.fields, StructField("may_be_gone", BooleanType())])
     marked = docs.select(F.xxhash64(F.col("doc_id").cast("long")), *docs.columns).mapInArrow(look, schema)
     clear = marked.where("not may_be_gone").select(*docs.columns)
     rest = marked.where("may_be_gone").select(*docs.columns).join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
