@@ -72,8 +72,9 @@ def secret_scan(docs: DataFrame, most_owners: int = 1) -> DataFrame:
     names = F.array(*(F.lit(name) for name, _ in kinds))
     told_as = lambda spans: F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
     number = lambda spans, test: F.size(F.filter(spans, test)).cast("long")
+    of_kind = lambda i: lambda s: s["kind"] == i  # noqa: E731  (a second parameter would get the index)
     every = F.concat("base", "more")
     return out.select(
-        "doc_id", *(number("base", lambda s, i=i: s["kind"] == i).alias(f"n_{name}") for i, name in enumerate(BASE)),
+        "doc_id", *(number("base", of_kind(i)).alias(f"n_{name}") for i, name in enumerate(BASE)),
         F.sha2(told_as(F.col("base")), 256).alias("base_sha256"), told_as(every).alias("spans"), number(every, lambda s: s["live"]).alias("n_live"), number(every, lambda s: ~s["live"]).alias("n_example"),
     )
