@@ -62,8 +62,9 @@ def _index(items: pa.Table, least: int) -> tuple:
         owner, value = shingles_of(text, h, least)
         at = np.arange(len(owner)) - np.searchsorted(owner, owner)
         few = counts[owner] < least
-        for o, v in zip(owner[few].tolist(), value[few].tolist(), strict=True):
-            short[int(counts[o])].append((v, row + o))
+        for o in owner[few].tolist():
+            whole = h[text == o]
+            short[len(whole)].append((int(shingles_of(np.zeros(len(whole), np.int64), whole, len(whole))[1][0]), row + o))
         hashes.append(value[~few])
         item.append(owner[~few] + row)
         place.append(at[~few])
