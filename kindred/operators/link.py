@@ -1,7 +1,8 @@
 """Linking two tables: comparison, pattern counting, EM, term-frequency adjustment, nesting, and extraction of matches.
 
-Only pairs with a variable that agrees are ever rows. The other pairs' patterns depend on which values are null alone, so their counts
-follow from the counts of null masks on both sides; all pairs become rows only where such a pattern must be listed as a match.
+Pairs are counted by pattern without becoming rows: values are joined, not rows, and inclusion and exclusion over the subsets of
+variables gives the count of each pattern. Pairs become rows only where their pattern is listed; all pairs do only where a pattern without
+any agreement is.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import combinations
 from typing import Any
 
 import numpy as np
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.functions.scalar import probability, tf_denominator, tf_weight
-from kindred.operators.compare import agreeing_pairs, term_frequencies
+from kindred.operators.compare import agreeing_pairs, agreeing_values, term_frequencies
 from kindred.plans import config as cfg
 from kindred.plans import em
 
@@ -52,23 +54,154 @@ def dense_pairs(a: DataFrame, b: DataFrame, comparison: cfg.Comparison, sparse:
     return every.join(sparse, ["id_a", "id_b"], "left").select("id_a", "id_b", *(F.coalesce(f"gamma_{i}", F.when(missing(i), F.lit(3)).otherwise(0)).cast("byte").alias(f"gamma_{i}") for i in k))
 
 
-def pattern_counts(a: DataFrame, b: DataFrame, comparison: cfg.Comparison, pairs: DataFrame) -> tuple[np.ndarray, np.ndarray, tuple[int, int]]:
-    """Patterns [n, k] and their counts over all pairs of the tables, from the agreeing pairs and the null masks; at most 4 ** k rows."""
-    k = len(comparison.variables)
-    names = [f"gamma_{i}" for i in range(1, k + 1)]
-    masks = [dict(map(tuple, x.groupBy(null_mask(comparison.variables).alias("m")).count().collect())) for x in (a, b)]
-    counts: dict[tuple[int, ...], int] = {}
-    for ma, na in masks[0].items():
-        for mb, nb in masks[1].items():
-            base = tuple(3 if (ma | mb) >> i & 1 else 0 for i in range(k))
-            counts[base] = counts.get(base, 0) + na * nb
-    for *levels, n in pairs.groupBy(*names).count().collect():
-        base = tuple(3 if g == 3 else 0 for g in levels)
-        counts[base] -= n
-        counts[tuple(levels)] = counts.get(tuple(levels), 0) + n
-    counts = {p: n for p, n in counts.items() if n}
-    order = sorted(counts)
-    return np.array(order, np.int64).reshape(len(order), k), np.array([counts[p] for p in order], np.int64), (sum(masks[0].values()), sum(masks[1].values()))
+@dataclass
+class Space:
+    """The pairs of two tables under one comparison, counted and listed without making rows of those that don't matter.
+
+    values has (va, vb, gamma) of each variable compared by more than equality; nested has (id_a, id_b) of each nested comparison's matches.
+    Inside, variable i is column a<i> of the one side and b<i> of the other.
+    """
+
+    a: DataFrame
+    b: DataFrame
+    comparison: cfg.Comparison
+    nested: dict[str, DataFrame]
+    values: dict[int, DataFrame] = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        for i, v in enumerate(self.comparison.variables):
+            if v.kind not in ("exact", "nested"):
+                self.values[i] = agreeing_values(self.a, self.b, v).persist(StorageLevel.MEMORY_AND_DISK)
+
+    @property
+    def flat(self) -> list[int]:
+        return [i for i, v in enumerate(self.comparison.variables) if v.kind != "nested"]
+
+    def side(self, which: str) -> DataFrame:
+        df, variables = getattr(self, which), self.comparison.variables
+        return df.select(f"id_{which}", *(F.col(variables[i].name).alias(f"{which}{i}") for i in self.flat), null_mask(variables).alias(f"mask_{which}"))
+
+    @staticmethod
+    def _usable(df: DataFrame, columns: list[str]) -> DataFrame:
+        """Rows without a null or NaN in the columns: only they can agree."""
+        kinds = dict(df.dtypes)
+        for c in columns:
+            df = df.where(F.col(c).isNotNull() & (~F.isnan(c) if kinds[c] in ("double", "float") else F.lit(True)))
+        return df
+
+    def _met(self, left: DataFrame, right: DataFrame, subset: tuple[int, ...]) -> DataFrame:
+        """Joins both sides where all variables of the subset agree, as an equality join on side b's values; g<i> has the levels."""
+        for i in subset:
+            if i in self.values:
+                left = left.join(self.values[i].select(F.col("va").alias(f"a{i}"), F.col("vb").alias(f"k{i}"), F.col("gamma").alias(f"g{i}")), f"a{i}")
+            else:
+                left = left.withColumns({f"k{i}": F.col(f"a{i}"), f"g{i}": F.lit(2).cast("byte")})
+        return left.join(right, reduce(lambda x, y: x & y, (F.col(f"k{i}") == F.col(f"b{i}") for i in subset))).drop(*(f"k{i}" for i in subset))
+
+    def agreeing(self, subset: tuple[int, ...]) -> DataFrame:
+        """code, mask, n: the numbers of pairs that agree on the subset, whatever the other variables do, by the subset's levels (base-4 code)
+        and null masks. Both sides are histograms of the subset's values, so hot values are one row each and no pair becomes a row."""
+        hist = []
+        for which in "ab":
+            columns = [f"{which}{i}" for i in subset]
+            hist.append(self._usable(self.side(which), columns).groupBy(f"mask_{which}", *columns).agg(F.count("*").alias(f"n_{which}")))
+        met = self._met(*hist, subset)
+        code = reduce(lambda x, y: x + y, (F.col(f"g{i}").cast("long") * 4**i for i in subset))
+        return met.groupBy(code.alias("code"), F.col("mask_a").bitwiseOR(F.col("mask_b")).alias("mask")).agg(F.sum(F.col("n_a") * F.col("n_b")).alias("n"))
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray, tuple[int, int]]:
+        """Patterns [n, k], their counts over all pairs, and the sizes of both tables.
+
+        Pairs that agree on at least a subset are counted for every subset of variables; inclusion and exclusion leave those that agree on just
+        the subset. At most 4 ** k rows reach the driver, and the work is in proportion to the rows, not to the pairs.
+        """
+        k, flat = len(self.comparison.variables), self.flat
+        masks = [dict(map(tuple, self.side(w).groupBy(f"mask_{w}").count().collect())) for w in "ab"]
+        least: dict[tuple[int, int], int] = {}  # (code of levels 1 and 2, null mask): pairs
+        for ma, na in masks[0].items():
+            for mb, nb in masks[1].items():
+                least[0, ma | mb] = least.get((0, ma | mb), 0) + na * nb
+        subsets = [s for r in range(1, len(flat) + 1) for s in combinations(flat, r)]
+        for at in range(0, len(subsets), 16):
+            for code, mask, n in reduce(DataFrame.unionByName, map(self.agreeing, subsets[at : at + 16])).collect():
+                least[code, mask] = least.get((code, mask), 0) + n
+        exact = dict(least)
+        for i in flat:  # of pairs that agree on at least a set without i, those that agree on i as well are taken off
+            shift = 4**i
+            for (code, mask), n in list(exact.items()):
+                if g := code // shift % 4:
+                    exact[code - g * shift, mask] -= n
+        digits = lambda code: [code // 4**i % 4 for i in range(k)]
+        counts: dict[tuple[int, ...], int] = {}
+        for (code, mask), n in exact.items():
+            p = tuple(g or 3 * (mask >> i & 1) for i, g in enumerate(digits(code)))
+            counts[p] = counts.get(p, 0) + n
+        if self.nested:
+            some = reduce(DataFrame.union, (x.select("id_a", "id_b") for x in self.nested.values())).distinct()
+            names = [f"gamma_{i + 1}" for i in range(k)]
+            for *levels, n in self.levels(self._beside(some)).groupBy(*names).count().collect():
+                plain = tuple(g if i in flat else 0 for i, g in enumerate(levels))
+                counts[plain] -= n
+                counts[tuple(levels)] = counts.get(tuple(levels), 0) + n
+        counts = {p: n for p, n in counts.items() if n}
+        order = sorted(counts)
+        return np.array(order, np.int64).reshape(len(order), k), np.array([counts[p] for p in order], np.int64), (sum(masks[0].values()), sum(masks[1].values()))
+
+    def _beside(self, pairs: DataFrame) -> DataFrame:
+        return pairs.join(self.side("a"), "id_a").join(self.side("b"), "id_b")
+
+    def levels(self, pairs: DataFrame) -> DataFrame:
+        """id_a, id_b, gamma_1 .. gamma_k of pairs that carry the values of both sides."""
+        out, kinds = pairs, dict(pairs.dtypes)
+        for i, v in enumerate(self.comparison.variables):
+            x, y = F.col(f"a{i}"), F.col(f"b{i}")
+            if v.kind == "nested":
+                own = self.nested[v.name].select("id_a", "id_b").distinct().withColumn("hit", F.lit(2))
+                out = out.join(own, ["id_a", "id_b"], "left")
+                g = F.coalesce("hit", F.lit(0))
+            elif i in self.values:
+                out = out.join(self.values[i].select(F.col("va").alias(f"a{i}"), F.col("vb").alias(f"b{i}"), F.col("gamma").alias("hit")), [f"a{i}", f"b{i}"], "left")
+                g = F.when(x.isNull() | y.isNull(), 3).otherwise(F.coalesce("hit", F.lit(0)))
+            else:
+                same = (x == y) & ~F.isnan(x) if kinds[f"a{i}"] in ("double", "float") else x == y
+                g = F.when(x.isNull() | y.isNull(), 3).when(same, 2).otherwise(0)
+            out = out.withColumn(f"gamma_{i + 1}", g.cast("byte")).drop("hit")
+        return out.select("id_a", "id_b", *(f"gamma_{i + 1}" for i in range(len(self.comparison.variables))))
+
+    def with_patterns(self, patterns: np.ndarray) -> DataFrame:
+        """id_a, id_b, gamma_1 .. gamma_k of the pairs that have one of the patterns.
+
+        Only pairs that agree wherever such a pattern does are made rows; a pattern without any agreement needs all pairs.
+        """
+        agree = {tuple(np.flatnonzero((p == 1) | (p == 2)).tolist()) for p in patterns}
+        k = len(self.comparison.variables)
+        if () in agree:
+            found = dense_pairs(self.a, self.b, self.comparison, gamma_pairs(self.a, self.b, self.comparison, self.nested))
+        else:
+            covers = sorted((s for s in agree if not any(set(t) < set(s) for t in agree)), key=lambda s: (len(s), s))
+            parts, before = [], []
+            for cover in covers:
+                inner = [i for i in cover if i not in self.flat]
+                if inner:
+                    part = self._beside(self.nested[self.comparison.variables[inner[0]].name].select("id_a", "id_b").distinct())
+                else:
+                    left, right = (self._usable(self.side(w), [f"{w}{i}" for i in cover]) for w in "ab")
+                    part = self._met(left, right, cover).drop(*(f"g{i}" for i in cover))
+                part = self.levels(part)
+                on = lambda s: reduce(lambda x, y: x & y, (F.col(f"gamma_{i + 1}").isin(1, 2) for i in s))
+                # a pair is listed under the first cover that has it
+                parts.append(part.where(on(cover) & ~reduce(lambda x, y: x | y, map(on, before), F.lit(False))))
+                before.append(cover)
+            if not parts:
+                return self.levels(self._beside(self.a.select("id_a").limit(0).join(self.b.select("id_b").limit(0))))
+            found = reduce(DataFrame.unionByName, parts)
+        kinds = ", ".join(f"gamma_{i + 1} byte" for i in range(k))
+        wanted = self.a.sparkSession.createDataFrame([tuple(map(int, p)) for p in patterns], kinds)
+        return found.join(F.broadcast(wanted), [f"gamma_{i + 1}" for i in range(k)], "left_semi")
+
+
+def pattern_counts(a: DataFrame, b: DataFrame, comparison: cfg.Comparison, nested: dict[str, DataFrame] | None = None) -> tuple[np.ndarray, np.ndarray, tuple[int, int]]:
+    return Space(a, b, comparison, nested or {}).counts()
 
 
 @dataclass
@@ -79,13 +212,16 @@ class Link:
     comparison: cfg.Comparison
     fit: em.Fit
     idvar: tuple[str, str]
-    a: DataFrame
-    b: DataFrame
-    agreeing: DataFrame
-    tf: DataFrame | None = None
+    space: Space
+    tf_base: str | None = None
     children: dict[str, Link] = field(default_factory=dict)
     seconds: dict[str, float] = field(default_factory=dict)
 
+    @property
+    def tf(self) -> DataFrame | None:
+        """tf_adjusted() of all pairs that agree somewhere; None without adjusted variables."""
+        return tf_adjusted(self, self.pairs(), self.tf_base) if self.tf_base else None
+
     @property
     def gammas(self) -> list[str]:
         return [f"gamma_{i}" for i in range(1, len(self.comparison.variables) + 1)]
@@ -121,49 +257,68 @@ class Link:
         return pairs.join(F.broadcast(table), self.gammas)
 
     def pairs(self, every: bool = False) -> DataFrame:
-        """id_a, id_b, levels, pattern_id, zeta_j, weights of the agreeing pairs, or of all pairs of both tables."""
-        return self._numbered(dense_pairs(self.a, self.b, self.comparison, self.agreeing) if every else self.agreeing)
+        """id_a, id_b, levels, pattern_id, zeta_j, weights of the pairs that agree somewhere, or of all pairs of both tables."""
+        x = self.space
+        found = gamma_pairs(x.a, x.b, x.comparison, x.nested)
+        return self._numbered(dense_pairs(x.a, x.b, x.comparison, found) if every else found)
 
-    def _reaches_base(self, hit: np.ndarray) -> bool:
-        """Whether a pattern without any agreement is among those hit."""
-        return bool((hit & np.all((self.fit.patterns == 0) | (self.fit.patterns == 3), axis=1)).any())
+    def _hit(self, hit: np.ndarray) -> DataFrame:
+        return self._numbered(self.space.with_patterns(self.fit.patterns[hit]))
 
     def matches(self, threshold: float | None = None) -> DataFrame:
         """The two id columns, pattern_id and zeta_j of pairs with zeta_j at or above the threshold (the configured one by default)."""
         t = self.fit.threshold if threshold is None else threshold
-        found = self.pairs(every=self._reaches_base(self.fit.zeta >= t)).where(F.col("zeta_j") >= t)
-        return found.select(F.col("id_a").alias(self.idvar[0]), F.col("id_b").alias(self.idvar[1]), "pattern_id", "zeta_j")
+        return self._hit(self.fit.zeta >= t).select(F.col("id_a").alias(self.idvar[0]), F.col("id_b").alias(self.idvar[1]), "pattern_id", "zeta_j")
+
+    def tf_matches(self) -> DataFrame:
+        """tf_adjusted() of the pairs that it makes matches. A frequency is no less than its floor, which bounds what a pattern can gain."""
+        f, best = self.fit, self.fit.weights + _odds(self.fit, self.tf_base)
+        for i, v in enumerate(self.comparison.variables):
+            if v.tf_adjust and v.kind != "nested":
+                for g, share in _shares(f, i).items():
+                    denominators = (1.0,) if v.kind == "numeric" else (v.tf_minimum_u_value, 1.0)
+                    gain = max(v.tf_adjustment_weight * np.log(share / d) for d in denominators) if share else 0.0
+                    best = best + np.where(f.patterns[:, i] == g, gain, 0.0)
+        with np.errstate(over="ignore"):
+            can = 1 / (1 + np.exp(-best)) >= f.threshold - 1e-9
+        return tf_adjusted(self, self._hit(can), self.tf_base).where("is_match")
 
     def decided(self) -> DataFrame:
         """id_a, id_b of the pairs that a nested comparison passes up: by adjusted weight if there is one, else by weight without prior."""
-        if self.tf is not None:
-            return self.tf.where("is_match").select("id_a", "id_b")
+        if self.tf_base:
+            return self.tf_matches().select("id_a", "id_b")
         with np.errstate(over="ignore"):
             hit = 1 / (1 + np.exp(-self.fit.weights)) >= self.fit.threshold
-        table = self.spark.createDataFrame([(int(i),) for i in np.flatnonzero(hit)], "pattern_id long")
-        return self.pairs(every=self._reaches_base(hit)).join(F.broadcast(table), "pattern_id", "left_semi").select("id_a", "id_b")
+        return self._hit(hit).select("id_a", "id_b")
+
+
+def _odds(f: em.Fit, prior_base: str) -> float:
+    return float(np.log(f.p_m / f.p_u) if prior_base == "e" else np.log2(f.p_m / f.p_u))
+
+
+def _shares(f: em.Fit, i: int) -> dict[int, float]:
+    """Share of all pairs at each level of agreement of variable i."""
+    return {g: float(f.counts[f.patterns[:, i] == g].sum() / f.counts.sum()) for g in (1, 2)}
 
 
-def tf_adjusted(link: Link, prior_base: str = "2") -> DataFrame:
-    """id_a, id_b, pattern_id, tf_<variable>, final_weight, final_zeta, is_match, tf_adjusted.
+def tf_adjusted(link: Link, pairs: DataFrame, prior_base: str = "2") -> DataFrame:
+    """Of pairs as Link.pairs() gives them: id_a, id_b, pattern_id, tf_<variable>, final_weight, final_zeta, is_match, tf_adjusted.
 
     A variable's denominator is the mean of both sides' frequencies if exact, else the larger; numeric variables have denominator 1. The prior is
     added as a base-2 logarithm to natural weights unless prior_base is 'e'.
     """
     f, c = link.fit, link.comparison
-    odds = np.log(f.p_m / f.p_u) if prior_base == "e" else np.log2(f.p_m / f.p_u)
-    base_hit = 1 / (1 + np.exp(-np.clip(odds + f.weights, -700, 700))) >= f.threshold
-    out = link.pairs(every=link._reaches_base(base_hit))
-    total, used, flag = F.lit(float(odds)) + F.col("weights"), [], F.lit(False)
+    out = pairs
+    total, used, flag = F.lit(_odds(f, prior_base)) + F.col("weights"), [], F.lit(False)
     for i, v in enumerate(c.variables, 1):
         if not v.tf_adjust or v.kind == "nested":
             continue
-        shares = {g: float(f.counts[f.patterns[:, i - 1] == g].sum() / f.counts.sum()) for g in (1, 2)}
+        shares = _shares(f, i - 1)
         u = F.when(F.col(f"gamma_{i}") == 2, F.lit(shares[2])).otherwise(F.lit(shares[1]))
         if v.kind == "numeric":
             out = out.withColumn(f"tf_{v.name}", F.lit(1.0))
         else:
-            for side, df, key in (("a", link.a, "id_a"), ("b", link.b, "id_b")):
+            for side, df, key in (("a", link.space.a, "id_a"), ("b", link.space.b, "id_b")):
                 tf = term_frequencies(df, v).select(F.col("v").alias(v.name), F.col("tf").alias(f"tf_{side}"))
                 out = out.join(df.select(key, v.name).join(tf, v.name).select(key, f"tf_{side}"), key, "left")
             out = out.withColumn(f"tf_{v.name}", tf_denominator(F.col("tf_a"), F.col("tf_b"), v.kind == "exact")).drop("tf_a", "tf_b")
@@ -186,14 +341,12 @@ def link(df_a: DataFrame, df_b: DataFrame, config: dict[str, Any], tf_prior_base
     for c in levels:
         began = time.perf_counter()
         children = {v.name: done[v.name] for v in c.variables if v.kind == "nested"}
-        pairs = gamma_pairs(a, b, c, {n: x.decided() for n, x in children.items()}).persist(StorageLevel.MEMORY_AND_DISK)
-        patterns, counts, dims = pattern_counts(a, b, c, pairs)
+        space = Space(a, b, c, {n: x.decided().persist(StorageLevel.MEMORY_AND_DISK) for n, x in children.items()})
+        patterns, counts, dims = space.counts()
         compared = time.perf_counter()
         known = {k: v for k, v in c.em.items() if k != "threshold_match"}
         found = em.fit(patterns, counts, dims, [v.name for v in c.variables], threshold_match=c.threshold, **known)
-        result = Link(df_a.sparkSession, c, found, (ida, idb), a, b, pairs, children=children)
-        if any(v.tf_adjust for v in c.variables):
-            result.tf = tf_adjusted(result, tf_prior_base)
+        result = Link(df_a.sparkSession, c, found, (ida, idb), space, tf_prior_base if any(v.tf_adjust for v in c.variables) else None, children)
         result.seconds = {"compare": compared - began, "em": time.perf_counter() - compared}
         done[c.name] = result
     return done[levels[-1].name]

@@ -84,7 +84,8 @@ def fit(
         zeta = np.where(np.isneginf(both), 0.0, np.exp(a - np.where(np.isneginf(both), 0, both)))
         before = np.concatenate([[p_m, p_u], *pk_m, *pk_u])
         r = n * zeta
-        p_m = float((r.sum() + mu - 1) / (psi - mu + n.sum()))
+        total = psi - mu + n.sum()
+        p_m = float((r.sum() + mu - 1) / total) if total > 0 else p_m  # no pairs tell nothing
         p_u = 1 - p_m
         for i in range(k):
             size = len(levels[i])

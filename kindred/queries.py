@@ -9,16 +9,16 @@ from pyspark.sql import functions as F
 
 from kindred.functions import scalar
 from kindred.operators import compare
-from kindred.operators.link import dense_pairs, gamma_pairs, link, pattern_counts
+from kindred.operators.link import link, pattern_counts
 from kindred.plans import config as cfg
 from kindred.sources import tables
 
 SIDE_A = """select p_partkey as id_a, upper(p_name) as name, p_brand as brand, case when p_partkey % 13 = 5 then null else p_type end as type,
-  cast(p_size as bigint) as size, p_retailprice as price from part where p_partkey < 400"""
+  cast(p_size as bigint) as size, p_retailprice as price from part"""
 SIDE_B = """select p_partkey + 1000000 as id_b, upper(case when p_partkey % 5 = 1 then substr(p_name, 1, length(p_name) - 1) else p_name end) as name,
   case when p_partkey % 7 = 2 then null else p_brand end as brand, p_type as type,
   cast(case when p_partkey % 4 = 3 then p_size + 1 when p_partkey % 9 = 4 then p_size + 2 else p_size end as bigint) as size, p_retailprice as price
-  from part where p_partkey < 400 and p_partkey % 11 <> 0"""
+  from part"""
 WITH = f"with a as ({SIDE_A}), b as ({SIDE_B})"
 
 
@@ -49,21 +49,30 @@ NESTED = {
 
 
 def _gammas(variable: dict) -> Callable[[SparkSession, str], DataFrame]:
-    """All pairs' levels of one variable, counted by level and sums of ids, which tells the pairs apart."""
+    """All pairs' levels of one variable, counted by level and sums of ids, which tells the pairs apart.
+
+    Pairs that agree are rows; what the others add follows from both sides' sums over null and other values.
+    """
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         a, b = sides(spark, sf_dir)
-        c = cfg.parse({"variables": [variable]})[0]
-        pairs = dense_pairs(a, b, c, gamma_pairs(a, b, c, {}))
-        return _digest(pairs.select("id_a", "id_b", F.col("gamma_1").cast("int").alias("gamma")))
+        v = cfg.variable(variable)
+        found = {g: (n, m) for g, n, m in compare.agreeing_pairs(a, b, v).groupBy("gamma").agg(F.count("*"), F.sum(F.col("id_a") * (F.col("id_b") % 1009))).collect()}
+        left, right = ({null: (n, m) for null, n, m in x.groupBy(F.col(v.name).isNull()).agg(F.count("*"), F.sum(mark)).collect()} for x, mark in ((a, F.col("id_a")), (b, F.col("id_b") % 1009)))
+        every: dict[int, list[int]] = {0: [0, 0], 3: [0, 0]}
+        for x, (n, m) in left.items():
+            for y, (k, t) in right.items():
+                every[3 if x or y else 0][0] += n * k
+                every[3 if x or y else 0][1] += m * t
+        for n, m in found.values():
+            every[0][0] -= n
+            every[0][1] -= m
+        rows = [(g, *map(int, x)) for g, x in (every | found).items() if x[0]]
+        return spark.createDataFrame(rows, "gamma int, pairs long, mark long")
 
     return run
 
 
-def _digest(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("gamma").agg(F.count("*").alias("pairs"), F.sum(F.col("id_a") * (F.col("id_b") % 1009)).cast("long").alias("mark"))
-
-
 def _gamma_sql(v: str, match: str, partial: str | None = None) -> str:
     more = f" when {partial} then 1" if partial else ""
     g = f"case when a.{v} is null or b.{v} is null then 3 when {match} then 2{more} else 0 end"
@@ -88,7 +97,7 @@ def tf_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pattern_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = sides(spark, sf_dir)
     c = cfg.parse(CONFIG)[0]
-    patterns, counts, _ = pattern_counts(a, b, c, gamma_pairs(a, b, c, {}))
+    patterns, counts, _ = pattern_counts(a, b, c)
     return spark.createDataFrame([(*map(int, p), int(n)) for p, n in zip(patterns, counts, strict=True)], "gamma_1 int, gamma_2 int, gamma_3 int, gamma_4 int, counts long")
 
 
@@ -184,8 +193,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "link_parameters": _of(CONFIG, lambda x: x.parameters),
     "link_five_variables": _of(PRICED, lambda x: x.matches(0.9)),
     "link_true_pairs": _of(PRICED, lambda x: x.matches().where("id_b - 1000000 = id_a").select("id_a", "id_b")),
-    "link_all_pairs": _of(CONFIG, lambda x: x.pairs(every=True).groupBy("pattern_id").agg(F.count("*").alias("pairs"))),
-    "link_tf": _of(TF, lambda x: x.tf.where("is_match")),
+    "link_all_pairs": _of(CONFIG, lambda x: x.patterns.select("pattern_id", F.col("counts").alias("pairs"))),
+    "link_tf": _of(TF, lambda x: x.tf_matches()),
     "link_nested": _of(NESTED, lambda x: x.matches()),
 }
 ORACLES: dict[str, str] = {
@@ -211,5 +220,7 @@ ORACLES: dict[str, str] = {
     "scalar_functions": SCALAR_SQL,
     "dictionary": f"{WITH} select distinct brand as v from b where brand is not null",
     "cardinalities": f"{WITH} select count(distinct name) as name, count(distinct brand) as brand, count(distinct type) as type, count(distinct size) as size from b",
+    "link_all_pairs": f"{PATTERN_SQL}, p as (select gamma_1, gamma_2, gamma_3, gamma_4, count(*) as pairs from g group by all)"
+    " select row_number() over (order by gamma_1, gamma_2, gamma_3, gamma_4) - 1 as pattern_id, pairs from p",
     "row_hash": f"{WITH} select count(*) as ids, count(*) as n_rows from a",
 }
