@@ -2,7 +2,7 @@
 
 Equal vectors of a label are one weighted vertex. A vector is a target in the cell of its nearest centroid, and a query there and in
 every other cell that a partner may be nearest to: a partner lies within r = sqrt(2 - 2 * threshold) of the unit vector, so only
-cells whose bisecting hyperplane is within r are visited. So no link is lost, however the cells were fitted. Within a cell, blocks of
+cells that reach within r of it are visited. So no link is lost, however the cells were fitted. Within a cell, blocks of
 targets meet blocks of queries as matrix products; a product gives counts of links and a spanning forest, never a list of all pairs.
 """
 
@@ -26,14 +26,18 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def fit_cells(vectors: DataFrame, sample_rows: int = 20_000, rows_per_cell: int = 1000, max_cells: int = 1024, rounds: int = 6) -> dict[int, np.ndarray]:
-    """Unit centroids by dimension, by spherical k-means on at most sample_rows vectors (those of the smallest key hashes)."""
-    n = vectors.count()
+def fit_cells(vectors: DataFrame, sample_rows: int = 20_000, rows_per_cell: int = 16_000, max_cells: int = 1024, rounds: int = 6) -> dict[int, np.ndarray]:
+    """Unit centroids by dimension, by spherical k-means on at most sample_rows vectors (those of the smallest key hashes).
+
+    Vectors of different labels never meet, so cells are only as many as the label that a vector is likely to have needs.
+    """
+    labels = vectors.groupBy("dim", "label").agg(F.count("*").alias("n"))
+    typical = {r["dim"]: r["n"] for r in labels.groupBy("dim").agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("n")).collect()}
     sample = vectors.select("dim", "embedding", F.xxhash64("key").alias("h")).orderBy("h").limit(sample_rows).toArrow()
     out, dims = {}, sample.column("dim").to_numpy()
     for dim in np.unique(dims).tolist():
         x = _matrix(sample.filter(pa.array(dims == dim)).column("embedding").combine_chunks())
-        k = int(np.clip(n * len(x) // len(dims) // rows_per_cell, 1, min(max_cells, len(x))))
+        k = int(np.clip(typical[dim] // rows_per_cell, 1, min(max_cells, len(x))))
         c = x[np.linspace(0, len(x) - 1, k).astype(int)]
         for _ in range(rounds):
             near = (x @ c.T).argmax(1)
@@ -45,6 +49,29 @@ def fit_cells(vectors: DataFrame, sample_rows: int = 20_000, rows_per_cell: int
     return out
 
 
+def visited(x: np.ndarray, c: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each unit vector's nearest centroid, and [n, k] which cells may hold a vector within `reach` of it.
+
+    A vector y of cell j is at least as near to centroid j as to any mean of others, so y = x + d, |d| <= reach, needs
+    x (mean - j) <= reach * |mean - j|. That is asked for the means of the 1, 2, 4 and 8 centroids nearest to x.
+    """
+    sims, between = x @ c.T, c @ c.T
+    order = np.argsort(-sims, axis=1, kind="stable")[:, :8]
+    ok = np.ones(sims.shape, bool)
+    at, cross, inner = np.zeros(len(x)), np.zeros(sims.shape), np.zeros(len(x))
+    rows = np.arange(len(x))
+    for m in range(1, order.shape[1] + 1):
+        new = order[:, m - 1]
+        at += sims[rows, new]
+        inner += 2 * cross[rows, new] + 1  # squared length of the sum so far
+        cross += between[new]
+        if m & (m - 1) == 0:
+            gap = np.sqrt(np.maximum(0, 1 - 2 * cross / m + (inner / m**2)[:, None]))
+            ok &= (at / m)[:, None] - sims <= reach * gap + 1e-9
+    ok[rows, order[:, 0]] = True
+    return order[:, 0], ok
+
+
 def _compare(threshold: float):
     def run(table: pa.Table) -> pa.Table:
         key, target = np.array(table.column("key").to_pylist(), object), table.column("target").to_numpy()
@@ -80,7 +107,7 @@ def _compare(threshold: float):
     return run
 
 
-def near_vectors(table: DataFrame, threshold: float = 0.98, block: int = 2000, **fit) -> DataFrame:
+def near_vectors(table: DataFrame, threshold: float = 0.98, block: int = 8000, **fit) -> DataFrame:
     """One row per row of table(vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
     Vectors link if their labels are equal and not null, their lengths are equal and their cosine is at least threshold.
@@ -104,12 +131,8 @@ def near_vectors(table: DataFrame, threshold: float = 0.98, block: int = 2000, *
             dims = batch.column(0).to_numpy()
             for dim in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == dim))
-                x, c = _matrix(part.column(2)), centres.value.get(dim, np.zeros((1, dim)))
-                sims = x @ c.T
-                home = sims.argmax(1)
-                gap = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))
-                visit = sims[np.arange(len(x)), home][:, None] - sims <= reach * gap[home] + 1e-12
-                visit[np.arange(len(x)), home] = True
+                x, c = _matrix(part.column(2)), centres.value.get(dim, np.eye(1, dim))
+                home, visit = visited(x, c, reach)
                 r, cell = np.nonzero(visit)
                 at = np.concatenate([r, np.arange(len(x))])
                 where = np.concatenate([cell, home])
