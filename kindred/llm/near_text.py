@@ -2,9 +2,10 @@
 
 Texts become sets of word shingles. Equal sets are one vertex. Each of `trees` independent trees deals the vertices to nodes by
 one minwise token; a node of more than `node_limit` vertices branches on by two further tokens chosen by the node itself, to at
-most `depth` levels, and what is then still large is compared block by block. Nodes are compared exhaustively on 128-byte
-signatures; each emits a spanning forest of its likely links, never all pairs. Likely links form clusters, whose members are then
-compared on their full shingle sets: a link counts only if 100 * intersection >= percent * union.
+most `depth` levels; in what is then still large, a few hubs are compared with all rows, and rows that meet no hub with all rows, block
+by block. Nodes are compared exhaustively on 128-byte signatures; each emits a spanning forest of its likely links, never all pairs.
+Likely links form clusters, whose members are then compared on their full shingle sets in the same way: a link counts only if
+100 * intersection >= percent * union.
 
 A pair at the threshold 0.8 misses every tree with probability below 0.2 ** trees, and the signature test with about 2e-5.
 """
@@ -24,6 +25,7 @@ from .words import SPACED, distinct_by_text, mixed, shingles_of, text_chunks, wo
 
 BYTES = 128  # of a signature
 LIKELY = 0.65  # least estimated similarity of a likely link
+HUBS = 8  # of a group of more than one block
 BITMAP = 24  # log2 of the bits of the set of wanted documents
 
 
@@ -98,32 +100,42 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> list[int]:
     return out
 
 
+def _told(table: pa.Table, ids: list[bytes], a: list[int], b: list[int], hit: np.ndarray) -> pa.Table:
+    """Links (g, a, b), and with b null the rows that none of those that ask has met."""
+    alone = np.flatnonzero(~hit).tolist()
+    ones, twos = [ids[i] for i in a] + [ids[i] for i in alone], [ids[i] for i in b] + [None] * len(alone)
+    g = table.column("g")[0].as_py()
+    return pa.table({"g": pa.array([g] * len(ones), pa.int64()), "a": pa.array(ones, pa.binary()), "b": pa.array(twos, pa.binary())})
+
+
 def _likely(table: pa.Table) -> pa.Table:
-    """Spanning forest of the likely links of one node, or of one block of it against another."""
-    ids = table.column("sid").to_pylist()
+    """Spanning forest of the likely links between the rows of a group that ask and all its rows."""
+    ids, asks = table.column("sid").to_pylist(), table.column("asks").to_numpy()
     sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, BYTES)
     need = int(np.ceil(BYTES * (LIKELY + (1 - LIKELY) / 256)))
-    ones, twos, n = [], [], len(ids)
+    ones, twos, n, who, hit = [], [], len(ids), np.flatnonzero(asks), asks.copy()
     step = max(1, (1 << 22) // (max(n, 1) * BYTES))
-    for i in range(0, n, step):
-        same = (sig[i : i + step, None, :] == sig[None, i:, :]).sum(2, dtype=np.uint8)
-        x, y = np.nonzero(same >= need)
-        keep = y > x
-        x, y = x[keep] + i, y[keep] + i
+    for i in range(0, len(who), step):
+        part = who[i : i + step]
+        # where all ask, each pair is looked at once
+        low = int(part[0]) if len(who) == n else 0
+        x, y = np.nonzero((sig[part, None, :] == sig[None, low:, :]).sum(2, dtype=np.uint8) >= need)
+        x, y = part[x], y + low
+        hit[y] = True
         take = forest(x, y, n)
         ones.append(x[take])
         twos.append(y[take])
     a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (ones, twos))
     take = forest(a, b, n)
-    return pa.table({"a": pa.array([ids[j] for j in a[take]], pa.binary()), "b": pa.array([ids[j] for j in b[take]], pa.binary())})
+    return _told(table, ids, a[take].tolist(), b[take].tolist(), hit)
 
 
 def _linked(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        """Spanning forest of the links, by full sets, of one cluster or of one block of it against another."""
-        ids = table.column("sid").to_pylist()
+        """Spanning forest of the links, by full sets, between the rows of a group that ask and all its rows."""
+        ids, asks = table.column("sid").to_pylist(), table.column("asks").to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
-        n, size = len(ids), np.array([len(x) for x in sets], np.int64)
+        n, size, hit = len(ids), np.array([len(x) for x in sets], np.int64), asks.copy()
         order = np.argsort(size, kind="stable")
         _, word = np.unique(np.concatenate(sets), return_inverse=True)
         word = word.ravel()
@@ -139,29 +151,60 @@ def _linked(percent: int):
             return x
 
         for i in order[::-1].tolist():
-            if not left:
-                break
+            if not asks[i]:
+                continue
             own = word[at[i] : at[i + 1]]
             length = begin[own + 1] - begin[own]
             total = int(length.sum())
             where = np.repeat(begin[own] - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(total)
             common = np.bincount(post[where], minlength=n)
-            for j in np.flatnonzero(100 * common >= percent * (size + size[i] - common)).tolist():
+            near = np.flatnonzero(100 * common >= percent * (size + size[i] - common))
+            hit[near] = True
+            for j in near.tolist():
                 if (x := top(i)) != (y := top(j)):
                     up[x] = y
                     left -= 1
-                    out_a.append(ids[i])
-                    out_b.append(ids[j])
-        return pa.table({"a": pa.array(out_a, pa.binary()), "b": pa.array(out_b, pa.binary())})
+                    out_a.append(i)
+                    out_b.append(j)
+            if not left:
+                break
+        return _told(table, ids, out_a, out_b, hit)
 
     return run
 
 
-def _in_blocks(rows: DataFrame, key: str, blocks: str, columns: list[str]) -> DataFrame:
-    """Each row once for every pair of blocks of its group that its own block is in; (key, lo, hi) names the pair."""
-    own = F.pmod(F.xxhash64("sid"), F.col(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col(blocks).cast("int") - 1))
-    return rows.withColumn("own", own).withColumn("other", every).select(key, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), *columns)
+def compared(rows: DataFrame, payload: str, kernel, limit: int) -> DataFrame:
+    """Links (a, b) that join the same sets as all links within the groups g of rows(g, sid, payload, blocks) do.
+
+    A group of one block is compared whole. Of a larger one, a few hubs are compared with all its rows, block by block; rows that meet a
+    hub need no further comparison with each other, so only those that meet none are compared with all. A group of near copies of
+    one text costs in proportion to its size, and no row is left out in any other.
+    """
+    shape, columns = "g long, a binary, b binary", ["g", "sid", payload]
+    asks = lambda df, yes: df.withColumn("asks", F.lit(yes))
+    small = asks(rows.where("blocks = 1").select(*columns), True).groupBy("g").applyInArrow(kernel, shape)
+    found = small.where("b is not null").select("a", "b")
+    large = rows.where("blocks > 1")
+    if large.isEmpty():
+        return found
+    picked = large.groupBy("g").agg(*(F.min_by("sid", F.xxhash64("sid", F.lit(i))).alias(f"h{i}") for i in range(HUBS)))
+    picked = picked.select("g", F.explode(F.array_distinct(F.array(*(f"h{i}" for i in range(HUBS))))).alias("sid"))
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c).cast("int") - 1))
+    own = lambda c: F.pmod(F.xxhash64("sid"), F.col(c)).cast("int")
+    hubs = asks(large.join(picked, ["g", "sid"]).withColumn("j", each("blocks")), True)
+    members = asks(large.withColumn("j", own("blocks")), False)
+    first = written(hubs.unionByName(members).select(*columns, "asks", "j").groupBy("g", "j").applyInArrow(kernel, shape), "hubs")
+    found = found.unionByName(first.where("b is not null").select("a", "b"))
+    alone = first.where("b is null").select("g", F.col("a").alias("sid"))
+    if alone.isEmpty():
+        return found
+    parts = alone.groupBy("g").agg(F.ceil(F.count("*") / limit).alias("parts"))
+    # a group of two halves, or of texts that have little to do with each other, has many such rows; they still meet every row
+    large = large.join(parts, "g")
+    asking = asks(large.join(alone, ["g", "sid"]).withColumn("i", own("parts")).withColumn("j", each("blocks")), True)
+    asked = asks(large.withColumn("j", own("blocks")).withColumn("i", each("parts")), False)
+    rest = asking.unionByName(asked).select(*columns, "asks", "i", "j").groupBy("g", "i", "j").applyInArrow(kernel, shape)
+    return found.unionByName(rest.where("b is not null").select("a", "b"))
 
 
 def classes(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = 10, node_limit: int = 1000, depth: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -194,14 +237,13 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = 10, nod
     nodes = parts[0]
     for more in parts[1:]:
         nodes = nodes.union(more)
-    pairs = _in_blocks(nodes, "node", "blocks", ["sid", "sig"])
-    likely = pairs.groupBy("node", "lo", "hi").applyInArrow(_likely, "a binary, b binary")
+    likely = compared(nodes.withColumnRenamed("node", "g"), "sig", _likely, node_limit)
     clusters = written(components(likely).withColumnRenamed("v", "sid").join(sets.select("sid", "doc_id"), "sid"), "clusters")
     found = _shingles(docs, clusters, k).join(clusters.select("sid", "root"), "sid")
     found = written(found, "shingles")
     sizes = found.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / node_limit), F.ceil(F.sum(F.length("shingles")) / (32 << 20))).alias("blocks"))
-    pairs = _in_blocks(found.join(sizes, "root"), "root", "blocks", ["sid", "shingles"])
-    links = pairs.groupBy("root", "lo", "hi").applyInArrow(_linked(percent), "a binary, b binary")
+    sized = found.join(sizes, "root").select(F.xxhash64("root").alias("g"), "sid", "shingles", "blocks")
+    links = compared(sized, "shingles", _linked(percent), node_limit)
     roots = components(links).join(sets.select(F.col("sid").alias("v"), "doc_id"), "v")
     names = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rows.select("doc_id", "n_shingles", "sid"), written(roots.join(names, "root").select(F.col("v").alias("sid"), "component_id"), "roots")
