@@ -42,4 +42,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash_near_dedup": lambda s, d: near_duplicates(_table(s, d, "documents"), k=4, percent=80),
 }
 
-ORACLES: dict[str, str] = {}
+CHAT_SQL = """with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+  e as (select *, length(replace(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&#91;'), chr(10), '&#10;')) as r,
+    length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[', '&#91;')) as n from t),
+  g as (select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text) as told,
+    coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '') as loss,
+    sum(length('<|im_start|>') + r + 1 + n + length('<|im_end|>') + 1) as chars from e group by conv_id)
+select conv_id, n_turns, sha256(told) as turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256, cast(chars as bigint) as formatted_chars from g"""
+
+ORACLES: dict[str, str] = {"op8_chat_format": CHAT_SQL}
