@@ -51,4 +51,20 @@ CHAT_SQL = """with t as (select conv_id, turn, coalesce(role, '') as role, coale
     sum(length('<|im_start|>') + r + 1 + n + length('<|im_end|>') + 1) as chars from e group by conv_id)
 select conv_id, n_turns, sha256(told) as turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256, cast(chars as bigint) as formatted_chars from g"""
 
-ORACLES: dict[str, str] = {"op8_chat_format": CHAT_SQL}
+MIX_SQL = r"""with d as (select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size,
+    cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 15) as bigint) as h from documents),
+  s as (select source, cast(sum(size) as bigint) as z, row_number() over (order by source nulls last) as rank from d group by source),
+  w as (select *, [3.0::double, 1.0::double, 2.0::double][(rank - 1) % 3 + 1] as w, 2.0::double * z as cap from s),
+  o as (select *, coalesce(sum(cap) over q, 0) as cap_before, coalesce(sum(w) over q, 0) as w_before, row_number() over (order by cap / w, rank) as k from w
+    window q as (order by cap / w, rank rows between unbounded preceding and 1 preceding)),
+  r as (select *, (1.5::double * sum(z) over () - cap_before) / (sum(w) over () - w_before) as rate from o),
+  f as (select *, (select rate from r where cap > rate * w order by k limit 1) as final from r),
+  t as (select source, z, case when final is null then cap else least(cap, final * w) end as target from f),
+  n as (select *, case when z > 0 then cast(floor(target / z) as bigint) else 0 end as times from t),
+  g as (select d.source, h, cast(sum(size) as bigint) as zh from d group by d.source, h),
+  c as (select g.source, h, zh, target - times * z as need, cast(sum(zh) over (partition by g.source order by h) as bigint) as upto from g join n on g.source is not distinct from n.source),
+  e as (select source, min_by(case when need - (upto - zh) > upto - need then h + 1 else h end, h) as below from c where upto >= need group by source)
+select doc_id, size, z as source_size, target, cast(size * (times + case when e.below is null or h < e.below then 1 else 0 end) as bigint) as taken
+from d join n on d.source is not distinct from n.source left join e on d.source is not distinct from e.source"""
+
+ORACLES: dict[str, str] = {"op3_mix_sources": MIX_SQL, "op8_chat_format": CHAT_SQL}
