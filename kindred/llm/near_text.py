@@ -2,8 +2,8 @@
 
 Texts become sets of word shingles. Equal sets are one vertex. Each of `trees` independent trees deals the vertices to nodes by
 one minwise token; a node of more than `node_limit` vertices branches on by two further tokens chosen by the node itself, to at
-most `depth` levels; in what is then still large, a few hubs are compared with all rows, and rows that meet no hub with all rows, block
-by block. Nodes are compared exhaustively on 128-byte signatures; each emits a spanning forest of its likely links, never all pairs.
+most `depth` levels; in what is then still large, a few hubs are compared with all rows, and rows outside the largest class that the hubs
+make with all rows, block by block. Nodes are compared exhaustively on 128-byte signatures; each emits a spanning forest of its likely links, never all pairs.
 Likely links form clusters, whose members are then compared on their full shingle sets in the same way: a link counts only if
 100 * intersection >= percent * union.
 
@@ -26,6 +26,7 @@ from .words import SPACED, distinct_by_text, mixed, shingles_of, text_chunks, wo
 BYTES = 128  # of a signature
 LIKELY = 0.65  # least estimated similarity of a likely link
 HUBS = 8  # of a group of more than one block
+BLOCK = 32 << 20  # most bytes of a block
 BITMAP = 24  # log2 of the bits of the set of wanted documents
 
 
@@ -100,12 +101,10 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> list[int]:
     return out
 
 
-def _told(table: pa.Table, ids: list[bytes], a: list[int], b: list[int], hit: np.ndarray) -> pa.Table:
-    """Links (g, a, b), and with b null the rows that none of those that ask has met."""
-    alone = np.flatnonzero(~hit).tolist()
-    ones, twos = [ids[i] for i in a] + [ids[i] for i in alone], [ids[i] for i in b] + [None] * len(alone)
+def _told(table: pa.Table, ids: list[bytes], a: list[int], b: list[int]) -> pa.Table:
+    """Links (g, a, b)."""
     g = table.column("g")[0].as_py()
-    return pa.table({"g": pa.array([g] * len(ones), pa.int64()), "a": pa.array(ones, pa.binary()), "b": pa.array(twos, pa.binary())})
+    return pa.table({"g": pa.array([g] * len(a), pa.int64()), "a": pa.array([ids[i] for i in a], pa.binary()), "b": pa.array([ids[i] for i in b], pa.binary())})
 
 
 def _likely(table: pa.Table) -> pa.Table:
@@ -113,7 +112,7 @@ def _likely(table: pa.Table) -> pa.Table:
     ids, asks = table.column("sid").to_pylist(), table.column("asks").to_numpy()
     sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, BYTES)
     need = int(np.ceil(BYTES * (LIKELY + (1 - LIKELY) / 256)))
-    ones, twos, n, who, hit = [], [], len(ids), np.flatnonzero(asks), asks.copy()
+    ones, twos, n, who = [], [], len(ids), np.flatnonzero(asks)
     step = max(1, (1 << 22) // (max(n, 1) * BYTES))
     for i in range(0, len(who), step):
         part = who[i : i + step]
@@ -121,13 +120,12 @@ def _likely(table: pa.Table) -> pa.Table:
         low = int(part[0]) if len(who) == n else 0
         x, y = np.nonzero((sig[part, None, :] == sig[None, low:, :]).sum(2, dtype=np.uint8) >= need)
         x, y = part[x], y + low
-        hit[y] = True
         take = forest(x, y, n)
         ones.append(x[take])
         twos.append(y[take])
     a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (ones, twos))
     take = forest(a, b, n)
-    return _told(table, ids, a[take].tolist(), b[take].tolist(), hit)
+    return _told(table, ids, a[take].tolist(), b[take].tolist())
 
 
 def _linked(percent: int):
@@ -135,7 +133,7 @@ def _linked(percent: int):
         """Spanning forest of the links, by full sets, between the rows of a group that ask and all its rows."""
         ids, asks = table.column("sid").to_pylist(), table.column("asks").to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
-        n, size, hit = len(ids), np.array([len(x) for x in sets], np.int64), asks.copy()
+        n, size = len(ids), np.array([len(x) for x in sets], np.int64)
         order = np.argsort(size, kind="stable")
         _, word = np.unique(np.concatenate(sets), return_inverse=True)
         word = word.ravel()
@@ -159,7 +157,6 @@ def _linked(percent: int):
             where = np.repeat(begin[own] - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(total)
             common = np.bincount(post[where], minlength=n)
             near = np.flatnonzero(100 * common >= percent * (size + size[i] - common))
-            hit[near] = True
             for j in near.tolist():
                 if (x := top(i)) != (y := top(j)):
                     up[x] = y
@@ -168,43 +165,64 @@ def _linked(percent: int):
                     out_b.append(j)
             if not left:
                 break
-        return _told(table, ids, out_a, out_b, hit)
+        return _told(table, ids, out_a, out_b)
 
     return run
 
 
+def _largest(table: pa.Table) -> pa.Table:
+    """The masks of the class of a group that has most rows; hubs (bits) that a mask has together are in one class."""
+    masks, n = table.column("mask").to_pylist(), table.column("n").to_pylist()
+    joined = []
+    for m in masks:
+        for x in [x for x in joined if x & m]:
+            joined.remove(x)
+            m |= x
+        joined.append(m)
+    best = max(joined, key=lambda x: (sum(c for m, c in zip(masks, n, strict=True) if m & x), x))
+    mine = [m for m in masks if m & best]
+    return pa.table({"g": pa.array([table.column("g")[0].as_py()] * len(mine), pa.int64()), "mask": pa.array(mine, pa.int32())})
+
+
 def compared(rows: DataFrame, payload: str, kernel, limit: int) -> DataFrame:
     """Links (a, b) that join the same sets as all links within the groups g of rows(g, sid, payload, blocks) do.
 
-    A group of one block is compared whole. Of a larger one, a few hubs are compared with all its rows, block by block; rows that meet a
-    hub need no further comparison with each other, so only those that meet none are compared with all. A group of near copies of
-    one text costs in proportion to its size, and no row is left out in any other.
+    A group of one block is compared whole. Of a larger one, a few hubs are compared with all its rows, block by block. Rows that the
+    hubs join make one class; rows of the group's largest class need no further comparison with each other, and every other row is
+    compared with all. Two rows that aren't joined yet are never both of the largest class, so no pair of them is left out. A group of
+    near copies of one text costs in proportion to its size.
     """
     shape, columns = "g long, a binary, b binary", ["g", "sid", payload]
     asks = lambda df, yes: df.withColumn("asks", F.lit(yes))
     small = asks(rows.where("blocks = 1").select(*columns), True).groupBy("g").applyInArrow(kernel, shape)
-    found = small.where("b is not null").select("a", "b")
+    found = small.select("a", "b")
     large = rows.where("blocks > 1")
     if large.isEmpty():
         return found
     picked = large.groupBy("g").agg(*(F.min_by("sid", F.xxhash64("sid", F.lit(i))).alias(f"h{i}") for i in range(HUBS)))
-    picked = picked.select("g", F.explode(F.array_distinct(F.array(*(f"h{i}" for i in range(HUBS))))).alias("sid"))
+    picked = picked.select("g", F.posexplode(F.array_distinct(F.array(*(f"h{i}" for i in range(HUBS))))).alias("bit", "sid"))
+    picked = written(picked.select("g", "sid", F.expr("shiftleft(1, bit)").alias("mask")), "picked")
     each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c).cast("int") - 1))
     own = lambda c: F.pmod(F.xxhash64("sid"), F.col(c)).cast("int")
-    hubs = asks(large.join(picked, ["g", "sid"]).withColumn("j", each("blocks")), True)
+    hubs = asks(large.join(picked.select("g", "sid"), ["g", "sid"]).withColumn("j", each("blocks")), True)
     members = asks(large.withColumn("j", own("blocks")), False)
     first = written(hubs.unionByName(members).select(*columns, "asks", "j").groupBy("g", "j").applyInArrow(kernel, shape), "hubs")
-    found = found.unionByName(first.where("b is not null").select("a", "b"))
-    alone = first.where("b is null").select("g", F.col("a").alias("sid"))
-    if alone.isEmpty():
+    found = found.unionByName(first.select("a", "b"))
+    # every link so far begins at a hub, so the hubs that a row meets tell its class
+    met = first.join(picked.select("g", F.col("sid").alias("a"), "mask"), ["g", "a"]).select("g", F.col("b").alias("sid"), "mask")
+    met = written(met.unionByName(picked).groupBy("g", "sid").agg(F.bit_or("mask").alias("mask")), "met")
+    most = written(met.groupBy("g", "mask").agg(F.count("*").alias("n")).groupBy("g").applyInArrow(_largest, "g long, mask int"), "most")
+    asking = large.join(met.join(most, ["g", "mask"]).select("g", "sid"), ["g", "sid"], "left_anti")
+    parts = written(
+        asking.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / limit), F.ceil(F.sum(F.length(payload)) / BLOCK)).alias("parts")), "parts"
+    )
+    if parts.isEmpty():
         return found
-    parts = alone.groupBy("g").agg(F.ceil(F.count("*") / limit).alias("parts"))
     # a group of two halves, or of texts that have little to do with each other, has many such rows; they still meet every row
-    large = large.join(parts, "g")
-    asking = asks(large.join(alone, ["g", "sid"]).withColumn("i", own("parts")).withColumn("j", each("blocks")), True)
-    asked = asks(large.withColumn("j", own("blocks")).withColumn("i", each("parts")), False)
+    asking = asks(asking.join(parts, "g").withColumn("i", own("parts")).withColumn("j", each("blocks")), True)
+    asked = asks(large.join(parts, "g").withColumn("j", own("blocks")).withColumn("i", each("parts")), False)
     rest = asking.unionByName(asked).select(*columns, "asks", "i", "j").groupBy("g", "i", "j").applyInArrow(kernel, shape)
-    return found.unionByName(rest.where("b is not null").select("a", "b"))
+    return found.unionByName(rest.select("a", "b"))
 
 
 def classes(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = 10, node_limit: int = 1000, depth: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -241,7 +259,7 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = 10, nod
     clusters = written(components(likely).withColumnRenamed("v", "sid").join(sets.select("sid", "doc_id"), "sid"), "clusters")
     found = _shingles(docs, clusters, k).join(clusters.select("sid", "root"), "sid")
     found = written(found, "shingles")
-    sizes = found.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / node_limit), F.ceil(F.sum(F.length("shingles")) / (32 << 20))).alias("blocks"))
+    sizes = found.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / node_limit), F.ceil(F.sum(F.length("shingles")) / BLOCK)).alias("blocks"))
     sized = found.join(sizes, "root").select(F.xxhash64("root").alias("g"), "sid", "shingles", "blocks")
     links = compared(sized, "shingles", _linked(percent), node_limit)
     roots = components(links).join(sets.select(F.col("sid").alias("v"), "doc_id"), "v")

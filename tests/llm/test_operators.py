@@ -123,6 +123,20 @@ def test_near_text(spark, docs, none):
     assert near_duplicates(none).count() == 0
 
 
+def test_near_text_bridge(spark):
+    # two halves below the threshold, joined by one pair of rows that meets it and the hubs of its own half only
+    def run(a, *own):
+        return " ".join([*(f"w{i}" for i in range(a, a + 103)), *own])
+
+    rows = [(i, run(0 if i % 2 else 12, f"own{i}")) for i in range(200)] + [(200, run(1)), (201, run(11))]
+    table = frame(spark, [(*r, "en", "a") for r in rows])
+    want = jaccard_classes(rows, 4, 80)
+    assert {c for _, _, c in want} == {0}
+    for limit in (1000, 50):
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(table, k=4, node_limit=limit).collect()) == want
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(table.where("doc_id < 201"), k=4, node_limit=50).collect()) == jaccard_classes(rows[:-1], 4, 80)
+
+
 def test_one_of_each(docs, none):
     kept = one_of_each(docs, k=4)
     assert kept.columns == docs.columns
