@@ -379,6 +379,19 @@ def test_scores(spark, docs, none):
     assert (alone.held_out, alone.n_tokens, alone.n_known, alone.train_tokens, alone.base_score) == (True, 3, 0, 0, 0.0)
 
 
+def test_scores_by_part(spark, docs):
+    from kindred.llm.lm import filter_bits, gram_counts, merged_counts, segments_for
+
+    # a filter that doesn't fit one broadcast gives the scores of one that does
+    want = Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in scores(docs).collect())
+    got = scores(docs, most_bits=1 << 17).collect()
+    assert Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in got) == want
+    marks = spark.createDataFrame([(10**9,), (10**9,)], "marks long")
+    assert filter_bits(marks) * 256 >= 2 * 10**9 * 8 - 256 * 8 and segments_for(0) == 256 and segments_for(30 << 30) >= 2048
+    counts = merged_counts(gram_counts(docs.select("text"), 512))
+    assert counts.agg({"seg": "max"}).first()[0] > 255
+
+
 def test_filter_levels(spark):
     from kindred.llm.lm import bloom, gram_counts, merged_counts, tokens_of
 
