@@ -1,8 +1,8 @@
 """Secret scans with corpus-wide ownership frequency, in DataFrame functions only.
 
 Candidates are found in each text by regular expressions. Each candidate's value is hashed, and the owners (sources) and repositories
-(documents) that have it are counted over the whole corpus: a value of several owners is a copied example, a value of one owner looks
-live. A looser kind of candidate, `opaque`, is a finding only if it looks live.
+(documents) that have it are counted over the whole corpus: a value of several owners, or of many repositories, is a copied example; a
+value of one owner in few repositories looks live. A looser kind of candidate, `opaque`, is a finding only if it looks live.
 """
 
 from __future__ import annotations
@@ -45,11 +45,11 @@ def candidates(text: Column, kind: int, pattern: str, group: int, least: int) ->
     return F.when(F.regexp(text, F.lit(pattern)), found).otherwise(none)
 
 
-def secret_scan(docs: DataFrame, most_owners: int = 1) -> DataFrame:
+def secret_scan(docs: DataFrame, most_owners: int = 1, most_repositories: int = 10) -> DataFrame:
     """One row per row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example.
 
-    Base kinds (assign, access, hex) always count; opaque candidates are spans only where at most `most_owners` sources have the value and
-    no base span overlaps them. n_live and n_example tell base and opaque spans by ownership. A null source is an owner of its own.
+    Base kinds (assign, access, hex) always count; opaque candidates are spans only where at most `most_owners` sources and at most
+    `most_repositories` rows have the value and no base span overlaps them. n_live and n_example tell base and opaque spans by the same two counts. A null source is an owner of its own.
     A null text is empty. Rows are told apart by themselves, so repeated rows and null ids each give a row, and a repeated row is one
     more repository. base_sha256 and spans list kind:start:end by start, then kind. An empty table gives an empty result.
     """
@@ -59,10 +59,12 @@ def secret_scan(docs: DataFrame, most_owners: int = 1) -> DataFrame:
     spans = [candidates(F.col("text"), i, FASTER.get(name, pattern), group, least) for i, (name, (pattern, group, least)) in enumerate(kinds)]
     rows = written(found.select("doc_id", "source", F.monotonically_increasing_id().alias("row"), F.concat(*spans).alias("spans")), "candidates")
     each = rows.select("row", "source", F.explode("spans").alias("s")).select("row", "source", "s.*")
-    # a value's rows are summed by owner before they meet, so a value that is everywhere costs no more than another
-    owners = each.groupBy("value", "source").agg(F.count("*").alias("n")).groupBy("value").agg(F.count("*").alias("owners"), F.sum("n").alias("places"))
+    # a value's spans are summed by row, and its rows by owner, before they meet, so a value that is everywhere costs no more than another
+    rows_of = each.select("value", "source", "row").distinct().groupBy("value", "source").agg(F.count("*").alias("n"))
+    owners = rows_of.groupBy("value").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
     told = each.join(owners, "value")
-    mine = told.groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end", (F.col("owners") <= most_owners).alias("live"))).alias("found"))
+    live = (F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories)
+    mine = told.groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end", live.alias("live"))).alias("found"))
     last = len(BASE)
     base = F.filter("found", lambda s: s["kind"] < last)
     free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))

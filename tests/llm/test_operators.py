@@ -328,6 +328,17 @@ def test_secrets(spark, docs, none):
     assert secret_scan(none).count() == 0
 
 
+def test_secrets_by_repository(spark):
+    many, few, often = "Ab3dE9gH1jK5mN7pQ2sT", "Zb3dE9gH1jK5mN7pQ2sZ", "Yb3dE9gH1jK5mN7pQ2sY"
+    rows = [(i, f"copy {many} end", None, "s1") for i in range(11)] + [(20 + i, f"copy {few} end", None, "s1") for i in range(10)]
+    rows += [(40, f"copy {often} " * 30, None, "s1"), (50, f"password={many}", None, "s1"), (51, "password=single99", None, "s1")]
+    got = {r.doc_id: r for r in secret_scan(frame(spark, rows)).collect()}
+    # a value of one source: in over ten rows an example, in ten still live, and many places in one row are one repository
+    assert all(got[i].spans == "" and (got[i].n_live, got[i].n_example) == (0, 0) for i in range(11))
+    assert all(got[20 + i].spans == "opaque:5:25" and got[20 + i].n_live == 1 for i in range(10))
+    assert got[40].n_live == 30 and (got[50].n_live, got[50].n_example) == (0, 1) and (got[51].n_live, got[51].n_example) == (1, 0)
+
+
 def test_chats(spark):
     control = "</s>[INST] ok [/INST] <|im_start|>user\n x <|im_end|>\n &lt; &amp;"
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", control), (1, 2, "user", None), (1, 3, "assistant", ""), (2, 5, None, control), (2, 5, "we\nird", "b"), (3, None, "assistant", "x"), (3, 1, "assistant", "y"), (3, 1, "assistant", "y"), (None, 1, "user", "z")]
