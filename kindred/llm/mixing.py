@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import dropped, unused, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 LEVEL_BITS = 12
@@ -66,7 +66,7 @@ def thresholds(rows: DataFrame, goal: DataFrame) -> DataFrame:
         hist = hist.withColumn("upto", F.sum("z").over(order))
         found = hist.join(small(state.select(F.col("source").alias("s"), "need", "done")), F.col("source").eqNullSafe(F.col("s")))
         ends = found.where(F.col("done") + F.col("upto") >= F.col("need")).groupBy("s").agg(F.min_by(F.struct("b", (F.col("done") + F.col("upto") - F.col("z")).alias("d"), "z", "lo", "hi"), "b").alias("e"))
-        new = state.join(small(ends), F.col("source").eqNullSafe(F.col("s")), "left")
+        before, new = state, state.join(small(ends), F.col("source").eqNullSafe(F.col("s")), "left")
         e = F.col("e")
         single = (e["lo"] == e["hi"]) | F.lit(shift == 0)
         # at a single hash, the nearer side of it; no such bucket: nothing more fits or is needed
@@ -78,7 +78,8 @@ def thresholds(rows: DataFrame, goal: DataFrame) -> DataFrame:
             F.when(keep | e.isNull(), F.col("done")).otherwise(e["d"]).alias("done"),
             (keep | e.isNull() | single).alias("one"),
         )
-        state = written(state, "budget")
+        old, state = before, written(state, "budget")
+        dropped(old)
         if state.where("not one").isEmpty():
             break
     return state.select("source", "source_size", "target", "times", F.col("prefix").alias("below"))
@@ -104,8 +105,9 @@ def mixed_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """The rows that the mix takes, as often as it takes them, with the columns of docs. Texts aren't shuffled."""
     rows = written(sized(docs), "sizes")
-    limits = thresholds(rows, targets(rows, weights, share, most)).select(F.col("source").alias("__s"), "times", "below")
+    s, times, below, n, h = unused(docs.columns, "s", "times", "below", "n", "h")
+    limits = thresholds(rows, targets(rows, weights, share, most)).select(F.col("source").alias(s), F.col("times").alias(times), F.col("below").alias(below))
     limits = F.broadcast(limits) if limits.count() <= SMALL else limits
-    taken = docs.withColumn("__h", document_hash()).join(limits, F.col("source").eqNullSafe(F.col("__s")))
-    copies = F.col("times") + F.when(F.col("__h") < F.col("below"), 1).otherwise(0)
-    return taken.withColumn("__n", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*docs.columns)
+    taken = docs.withColumn(h, document_hash()).join(limits, F.col("source").eqNullSafe(F.col(s)))
+    copies = F.col(times) + F.when(F.col(h) < F.col(below), 1).otherwise(0)
+    return taken.withColumn(n, F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*docs.columns)
