@@ -7,7 +7,9 @@ make with all rows, block by block. Nodes are compared exhaustively on 128-byte
 Likely links form clusters, whose members are then compared on their full shingle sets in the same way: a link counts only if
 100 * intersection >= percent * union.
 
-A pair at the threshold 0.8 misses every tree with probability below 0.2 ** trees, and the signature test with about 2e-5.
+A pair of similarity s meets in one tree's nodes with probability s if no node branches; each level at which its node branches by two
+tokens takes a factor of 1 - (1 - s) ** 2 more, 0.96 at 0.8. So it misses all of 10 trees with (1 - 0.8) ** 10 = 1e-7 without
+branching, and with (1 - 0.8 * 0.96 ** 2) ** 10 = 2e-6 after two branchings; the signature test misses it with about 2e-5.
 """
 
 from __future__ import annotations
@@ -18,9 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, StructField, StructType
 
-from .store import components, written
+from .store import components, dropped, unused, written
 from .words import SPACED, distinct_by_text, mixed, shingles_of, text_chunks, words_of
 
 BYTES = 128  # of a signature
@@ -228,18 +230,19 @@ def compared(rows: DataFrame, payload: str, kernel, limit: int) -> DataFrame:
 def classes(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = 10, node_limit: int = 1000, depth: int = 3) -> tuple[DataFrame, DataFrame]:
     """Near-duplicate classes of docs(doc_id, text).
 
-    Returns (rows, roots): rows has doc_id, n_shingles, sid of every row of docs; roots has sid, component_id of every set that
-    links with another. A set that doesn't link has its smallest doc_id as component.
+    Returns (rows, roots): rows has doc_id, n_shingles, sid of every row of docs; roots has sid, root, component_id of every set that
+    links with another, root being its class's least set. A set that doesn't link has its smallest doc_id as component.
     """
     rows = written(signatures(docs, k, trees), "signed")
     sets = written(
         rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("tokens").alias("tokens")), "sets"
     )
     level = sets.select("sid", "sig", F.posexplode("tokens").alias("tree", "token")).select(F.xxhash64("tree", "token").alias("node"), "sid", "sig")
-    parts = []
+    parts, levels = [], []
     for deep in range(1, depth + 1):
         counts = level.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
         level = written(level.join(counts, "node"), "nodes")
+        levels.append(level)
         large = F.col("n") > node_limit
         here = level if deep == depth else level.where(~large)
         parts.append(here.withColumn("blocks", F.ceil(F.col("n") / node_limit)))
@@ -264,7 +267,9 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = 10, nod
     links = compared(sized, "shingles", _linked(percent), node_limit)
     roots = components(links).join(sets.select(F.col("sid").alias("v"), "doc_id"), "v")
     names = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rows.select("doc_id", "n_shingles", "sid"), written(roots.join(names, "root").select(F.col("v").alias("sid"), "component_id"), "roots")
+    roots = written(roots.join(names, "root").select(F.col("v").alias("sid"), "root", "component_id"), "roots")
+    dropped(sets, clusters, found, *levels)
+    return rows.select("doc_id", "n_shingles", "sid"), roots
 
 
 def bitmap_of(ids: DataFrame) -> bytes:
@@ -311,35 +316,57 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
     Texts that are null, empty or without a word have no shingles and link with nothing. Rows that repeat a doc_id or a text are
-    one vertex where their sets are equal. A null doc_id takes part, and names a component only if it has no other id. An empty
-    table gives an empty result; columns other than doc_id and text are not looked at.
+    one vertex where their sets are equal. A null doc_id takes part, and names a component only if it has no other id, in which case
+    all its rows are kept. An empty table gives an empty result; columns other than doc_id and text are not looked at.
     """
+    named, _ = _named(docs, k, percent, trees, node_limit, depth)
+    return named.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _named(docs: DataFrame, k: int, percent: int, trees: int, node_limit: int = 1000, depth: int = 3) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n_shingles, sid, component_id of each row of docs, and sid, component_id, first of each set: the least set of the
+    component's rows of the least id."""
     rows, roots = classes(docs, k, percent, trees, node_limit, depth)
     least = rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"))
-    names = least.join(roots, "sid", "left").select("sid", F.coalesce("component_id", "least").alias("component_id"))
-    out = rows.join(names, "sid", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    names = least.join(roots, "sid", "left").withColumn("component_id", F.coalesce("component_id", "least"))
+    named = rows.join(names.select("sid", "component_id"), "sid", "left").withColumn("component_id", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    # a class is told by its root set, since one id may name several
+    classed = names.withColumn("root", F.coalesce("root", "sid"))
+    first = classed.groupBy("root").agg(F.min_by("sid", F.struct(F.col("least").isNull(), F.col("least"), F.col("sid"))).alias("first"))
+    return named, classed.join(first, "root").select("sid", "least", "component_id", "first")
 
 
-def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = 10) -> DataFrame:
-    """docs with one row of each near-duplicate group: that of the smallest doc_id, and of rows with equal ids and texts one.
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = 10, node_limit: int = 1000) -> DataFrame:
+    """docs with one row of each near-duplicate group, and all rows whose text has no word.
 
-    Texts move only for documents that a bitmap of fixed size can't rule out as dropped or repeated.
+    A group's row is one with its smallest doc_id (null only if it has no other), and among texts of that id one of the least set hash.
+    Rows are told apart by id and set, so a repeated doc_id loses no text of its own. Texts move only for rows whose id a bitmap of
+    fixed size can't rule out as dropped or repeated. An empty table gives an empty result; further columns may have any names.
     """
-    found = near_duplicates(docs, k, percent, trees)
-    found = written(found, "kept")
-    repeated = found.where("kept").groupBy("doc_id", "component_id").count().where("count > 1").select("doc_id")
-    gone = found.where("not kept").select("doc_id").distinct()
-    seen = docs.sparkSession.sparkContext.broadcast(bitmap_of(gone.union(repeated)))
+    named, sets = _named(docs, k, percent, trees, node_limit)
+    named = written(named.where("sid is not null").select("doc_id", "sid"), "named")
+    sets = written(sets.select("sid", "least", "first"), "sets")
+    # of each set that stays, the rows of its least id do
+    keys = named.groupBy("doc_id", "sid").agg(F.count("*").alias("n")).join(sets, "sid")
+    stays = (F.col("sid") == F.col("first")) & F.col("doc_id").eqNullSafe(F.col("least"))
+    keys = written(keys.select("doc_id", "sid", "n", stays.alias("stays")), "keys")
+    seen = docs.sparkSession.sparkContext.broadcast(bitmap_of(keys.where("not stays or n > 1").select("doc_id")))
+    id_, own_sid, sid, gone = unused(docs.columns, "id", "own_sid", "sid", "may_be_gone")
+    at, names = docs.columns.index("text") + 1, [*docs.columns, sid, gone]
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = hits(seen, batch.column(0).to_numpy())
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(at)], names)
-
-    names = [*docs.columns, "may_be_gone"]
-    schema = StructType([*docs.schema.fields, StructField("may_be_gone", BooleanType())])
+            found = hits(seen, batch.column(0).to_numpy())
+            ids, where = [None] * len(batch), np.flatnonzero(found)
+            for row, _, have, begin, value in _sets(batch.column(at).cast(pa.string()).filter(pa.array(found)), k):
+                for i, key in zip(have.tolist(), _set_ids(value, begin[:-1]), strict=True):
+                    ids[int(where[row + i])] = key
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(ids, pa.binary()), pa.array(found)], names)
+
+    schema = StructType([*docs.schema.fields, StructField(sid, BinaryType()), StructField(gone, BooleanType())])
     marked = docs.select(F.xxhash64(F.col("doc_id").cast("long")), *docs.columns).mapInArrow(look, schema)
-    clear = marked.where("not may_be_gone").select(*docs.columns)
-    rest = marked.where("may_be_gone").select(*docs.columns).join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
-    return clear.unionByName(rest)
+    clear = marked.where(~F.col(gone) | F.col(sid).isNull()).select(*docs.columns)
+    own = keys.where("stays").select(F.col("doc_id").alias(id_), F.col("sid").alias(own_sid))
+    rest = marked.where(F.col(gone) & F.col(sid).isNotNull())
+    rest = rest.join(own, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(sid) == F.col(own_sid)), "left_semi")
+    return clear.unionByName(rest.dropDuplicates(["doc_id", sid]).select(*docs.columns))
