@@ -2,7 +2,8 @@
 
 Word and word-pair counts are taken over all training texts; a count c is kept as the level 1 + floor(log2 c), and a gram of level q is
 put into the filter with each of the marks 1 to q. A lookup probes marks 1, 2, ... until one is absent, which gives the level back, and
-a count of 1.5 * 2 ** (level - 1). The filter's segments, each filled by one group of a shuffle, grow in number with the training text,
+the middle of the counts of that level, 1.5 * 2 ** (level - 1) - 0.5. At 8 bits a mark and 3 probes a mark that isn't there reads as there
+with probability (1 - exp(-3 / 8)) ** 3 = 0.03. The filter's segments, each filled by one group of a shuffle, grow in number with the training text,
 and its bits with the marks. At most `most_bits` are broadcast at a time: a larger filter is looked up by one part of its segments
 after another, for the distinct grams of each chunk of texts, and the levels found meet their chunk again.
 
@@ -59,15 +60,18 @@ def _counted(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _packed(grams: np.ndarray, counts: np.ndarray) -> bytes:
     """Sorted grams as differences, and counts, compressed."""
-    raw = np.diff(grams, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes() + counts.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+    raw = np.diff(grams, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes() + counts.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()
     return zlib.compress(raw, 1)
 
 
 def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(zlib.decompress(blob), np.uint8)
-    n = len(raw) // 12
-    grams = np.cumsum(np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view(np.uint64).ravel(), dtype=np.uint64)
-    return grams, np.ascontiguousarray(raw[8 * n :].reshape(4, n).T).view(np.uint32).ravel().astype(np.int64)
+    steps, counts = (np.ascontiguousarray(x.reshape(8, -1).T).view(np.uint64).ravel() for x in np.split(raw, 2))
+    return np.cumsum(steps, dtype=np.uint64), counts.astype(np.int64)
+
+
+def _level(counts: np.ndarray) -> np.ndarray:
+    return np.frexp(counts.astype(float))[1].astype(np.int64)
 
 
 def segments_for(size: int) -> int:
@@ -119,7 +123,7 @@ def merged_counts(partial: DataFrame) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         grams, counts = _counted(*map(np.concatenate, zip(*map(_unpacked, table.column("blob").to_pylist()), strict=True)))
-        level = np.log2(counts).astype(np.int64) + 1
+        level = _level(counts)
         return pa.table({"seg": table.column("seg")[:1], "kind": table.column("kind")[:1], "blob": pa.array([_packed(grams, counts)], pa.binary()), "grams": [len(grams)], "total": [int(counts.sum())], "marks": [int(level.sum())]})
 
     return partial.groupBy("seg", "kind").applyInArrow(run, "seg int, kind int, blob binary, grams long, total long, marks long")
@@ -144,7 +148,7 @@ def filters(counts: DataFrame, bits: int) -> DataFrame:
         out = np.zeros(bits, bool)
         for blob in table.column("blob").to_pylist():
             grams, n = _unpacked(blob)
-            level = np.log2(n).astype(np.int64) + 1
+            level = _level(n)
             for mark in range(1, int(level.max()) + 1):
                 for at in _places(grams[level >= mark], mark, bits):
                     out[at] = True
@@ -184,7 +188,7 @@ def levels_of(whole: np.ndarray, grams: np.ndarray, segments: int | None = None,
 
 
 def _count_of(level: np.ndarray) -> np.ndarray:
-    return np.where(level > 0, 1.5 * 2.0 ** (level - 1.0), 0.0)
+    return np.where(level > 0, 1.5 * 2.0 ** (level - 1.0) - 0.5, 0.0)
 
 
 def looked_up(whole: np.ndarray, grams: np.ndarray) -> np.ndarray:
@@ -236,7 +240,7 @@ def scores_by_part(parts: DataFrame, rows: DataFrame, bits: int, segments: int,
     return told.groupBy("chunk").applyInArrow(join, "row long, score double")
 
 
-def scores(docs: DataFrame, heavy: int = 100_000, weight: float = 4.0, most_bits: int = 1 << 29) -> DataFrame:
+def scores(docs: DataFrame, heavy: int = 100_000, weight: float = 4.0, most_bits: int = 1 << 29, bits_per_mark: int = 8) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     A null text is an empty one: its only token is its end. A null doc_id is not held out. Repeated rows train repeatedly. score is
@@ -249,7 +253,7 @@ def scores(docs: DataFrame, heavy: int = 100_000, weight: float = 4.0, most_bits
     train = docs.where(~F.col("held_out"))
     segments = segments_for(train.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
     counts = written(merged_counts(gram_counts(train, segments)), "grams")
-    bits = filter_bits(counts, segments)
+    bits = filter_bits(counts, segments, bits_per_mark)
     step = max(1, most_bits // bits)
     inline = step >= segments
     filled = filters(counts, bits)
