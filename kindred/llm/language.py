@@ -20,6 +20,7 @@ from .words import LETTERS, LOWER, mixed, text_chunks, words_of
 TABLE = 1 << 16
 STEP = 32  # words of a block
 UNKNOWN = "und"
+EMPTY = {"langs": [], "weights": np.zeros((TABLE, 0), np.float32), "trans": np.zeros((0, 0))}
 
 
 def features(data: np.ndarray, start: np.ndarray, stop: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,11 +119,14 @@ def _texts(column: pa.Array, limit: int = 1 << 20):
 
 
 def fit(sample: pa.Table, rounds: int = 16, rate: float = 0.4, decay: float = 0.01) -> dict:
-    """Weights and transitions from texts and their languages; each word of a text is given the text's language."""
-    langs = sorted(set(sample.column("lang").to_pylist()))
+    """Weights and transitions from texts and their languages; each word of a text is given the text's language. Without any word, none."""
+    told, chunks = sample.column("lang").to_pylist(), list(_texts(sample.column("text").combine_chunks(), 1 << 62))
+    if not chunks or not len(chunks[0][-1]):
+        return dict(EMPTY)
+    _, _, data, _, text_no, start, stop, h = chunks[0]
+    langs = sorted({told[i] for i in np.unique(text_no).tolist()})  # those that have a text with a word
     number = {x: i for i, x in enumerate(langs)}
-    truth_of = np.array([number[x] for x in sample.column("lang").to_pylist()], np.int64)
-    (_, _, data, _, text_no, start, stop, h), *_ = _texts(sample.column("text").combine_chunks(), 1 << 62)
+    truth_of = np.array([number.get(x, 0) for x in told], np.int64)
     unique, at, word_no = np.unique(h, return_index=True, return_inverse=True)
     word_no = word_no.ravel()
     place, begin = features(data, start[at], stop[at], unique)
@@ -150,18 +154,22 @@ def fit(sample: pa.Table, rounds: int = 16, rate: float = 0.4, decay: float = 0.
     return {"langs": langs, "weights": weights.astype(np.float32), "trans": np.clip(trans, -4, 4)}
 
 
+def _labelled(model: dict, column: pa.Array):
+    """By chunk of a column: what _texts() gives, and the posteriors of each word."""
+    for row, end, data, offsets, text, start, stop, h in _texts(column):
+        if len(h):
+            unique, at, back = np.unique(h, return_index=True, return_inverse=True)
+            place, begin = features(data, start[at], stop[at], unique)
+            emission = np.add.reduceat(model["weights"][place], begin)[back.ravel()]
+            yield row, end, data, offsets, text, start, stop, marginals(emission, text, model["trans"])[0]
+
+
 def predict(model: dict, column: pa.Array) -> tuple[list[str], np.ndarray]:
     """Language and mean posterior of each text of a column."""
     langs, names, out = model["langs"], [UNKNOWN] * len(column), np.zeros(len(column))
     if not langs:
         return names, out
-    for row, end, data, offsets, text, start, stop, h in _texts(column):
-        if not len(h):
-            continue
-        unique, at, back = np.unique(h, return_index=True, return_inverse=True)
-        place, begin = features(data, start[at], stop[at], unique)
-        emission = np.add.reduceat(model["weights"][place], begin)[back.ravel()]
-        post, _ = marginals(emission, text, model["trans"])
+    for row, end, data, offsets, text, _, _, post in _labelled(model, column):
         n = np.bincount(text, minlength=end - row)
         mean = np.column_stack([np.bincount(text, post[:, j], end - row) for j in range(len(langs))]) / np.maximum(n, 1)[:, None]
         plain = np.concatenate([[0], np.cumsum((data < 128) & LETTERS[data])])[offsets]
@@ -186,13 +194,11 @@ def train(docs: DataFrame, rows_per_language: int = 150) -> dict:
     part = F.least(F.lit(1.0), F.lit(float(rows_per_language)) / F.col("count"))
     rates = {r["lang"]: r["p"] for r in counts.select("lang", part.alias("p")).collect()}
     if not rates:
-        return {"langs": [], "weights": np.zeros((TABLE, 0), np.float32), "trans": np.zeros((0, 0))}
+        return dict(EMPTY)
     rate = F.element_at(F.create_map(*(x for k, v in rates.items() for x in (F.lit(k), F.lit(v)))), F.col("lang"))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     sample = known.where(draw < rate).select("doc_id", "lang", F.col("text").cast("string")).toArrow()
-    sample = sample.sort_by([("lang", "ascending"), ("doc_id", "ascending")])
-    langs = set(sample.filter(pa.array([bool(x and x.strip()) for x in sample.column("text").to_pylist()], pa.bool_())).column("lang").to_pylist())
-    return fit(sample.filter(pa.array([x in langs for x in sample.column("lang").to_pylist()], pa.bool_()))) if langs else {"langs": [], "weights": np.zeros((TABLE, 0), np.float32), "trans": np.zeros((0, 0))}
+    return fit(sample.sort_by([("lang", "ascending"), ("doc_id", "ascending")]))
 
 
 def languages(docs: DataFrame, rows_per_language: int = 150) -> DataFrame:
@@ -211,6 +217,33 @@ def languages(docs: DataFrame, rows_per_language: int = 150) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def language_spans(docs: DataFrame, rows_per_language: int = 150) -> DataFrame:
+    """doc_id, start, end, n_words, lang, score: the runs of words of one language of each text of docs(doc_id, text, lang).
+
+    start and end (exclusive) are code points; a word is labelled with the language of its largest posterior, and score is the mean of a
+    run's. Texts without a word, and all texts if there is no language to learn from, have no runs. Repeated rows have theirs repeated.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, rows_per_language))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not model.value["langs"]:
+                continue
+            for row, _, data, offsets, text, start, stop, post in _labelled(model.value, batch.column(1)):
+                best, score = post.argmax(1), post.max(1)
+                first = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(best, prepend=-1) != 0))
+                last = np.append(first[1:], len(text)) - 1
+                point = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # code points before each byte
+                zero = point[offsets[text[first]]]
+                n = last - first + 1
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(text[first] + row)), pa.array(point[start[first]] - zero), pa.array(point[stop[last]] - zero), pa.array(n), pa.array([model.value["langs"][i] for i in best[first].tolist()]), pa.array(np.add.reduceat(score, first) / n)],
+                    ["doc_id", "start", "end", "n_words", "lang", "score"],
+                )
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, start long, end long, n_words long, lang string, score double")
+
+
 def in_a_language(docs: DataFrame, least: float = 0.35, rows_per_language: int = 150) -> DataFrame:
     """docs without texts that have no letter or in which no language has the mean posterior `least`, with all their columns."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, rows_per_language))
