@@ -186,22 +186,58 @@ class Many:
             rows.append(row)
         return rows[-1][np.arange(n), np.minimum(self.size, width)]
 
+    def dl(self, a: str, part: int = 4096) -> np.ndarray:
+        """Unrestricted Damerau-Levenshtein distances, `part` words at a time."""
+        out = np.empty(len(self.words), np.int64)
+        for begin in range(0, len(self.words), part):
+            chars, size = self.chars[begin : begin + part], self.size[begin : begin + part]
+            n, width = chars.shape
+            width = int(min(width, size.max(initial=0)))
+            rows, every = np.full((len(a) + 2, n, width + 2), 1 << 14, np.int16), np.arange(n)
+            rows[1:, :, 1] = np.arange(len(a) + 1)[:, None]
+            rows[1, :, 1:] = np.arange(width + 1)
+            last = np.zeros((n, max(width, 1)), np.int64)  # row in which the query last had each character
+            for i, x in enumerate(a, 1):
+                same, match = chars[:, :width] == ord(x), np.zeros(n, np.int64)
+                for j in range(1, width + 1):
+                    k, eq = last[:, j - 1], same[:, j - 1]
+                    swap = rows[k, every, match] + (i - k) + (j - match - 1)
+                    plain = np.minimum(rows[i, :, j] + ~eq, np.minimum(rows[i + 1, :, j], rows[i, :, j + 1]) + 1)
+                    rows[i + 1, :, j + 1] = np.minimum(plain, swap)
+                    match = np.where(eq, j, match)
+                last[:, :width][same] = i
+            out[begin : begin + part] = rows[len(a) + 1, every, np.minimum(size, width) + 1]
+        return out
+
+    def ro_bound(self, a: str) -> np.ndarray:
+        """What no Ratcliff-Obershelp score exceeds: that of the characters in common, in any order."""
+        common = sum((np.minimum((self.chars == ord(c)).sum(1), a.count(c)) for c in set(a)), np.zeros(len(self.words), np.int64))
+        out = np.where(len(a) + self.size > 0, 2 * common / np.maximum(len(a) + self.size, 1), 1.0)
+        out[self.long] = 1.0
+        return out
+
     def hamming(self, a: str) -> np.ndarray:
         n = min(len(a), self.chars.shape[1])
         q = np.frombuffer(a[:n].encode("utf-32-le", "surrogatepass"), np.uint32)
         inside = np.arange(n) < self.size[:, None]
         return ((self.chars[:, :n] != q) & inside).sum(1) + np.abs(self.size - len(a))
 
-    def score(self, method: str, a: str, w: float = 0.1) -> np.ndarray:
+    def score(self, method: str, a: str, w: float = 0.1, least: float = 0.0) -> np.ndarray:
+        """Scores of all words; of one that can't reach `least`, rounded to four digits, a value below it may be given instead."""
         one_by_one = SCALAR[method]
-        if method in ("dl", "ro") or len(a) > WIDTH:
+        if method == "ro":
+            out = self.ro_bound(a)
+            for i in np.flatnonzero(np.round(out, 4) >= least).tolist():
+                out[i] = one_by_one(a, self.words[i], w)
+            return out
+        if len(a) > WIDTH:
             return np.array([one_by_one(a, b, w) for b in self.words])
         if method == "jaro":
             out = self.jaro(a)
         elif method == "jarowinkler":
             out = self.jarowinkler(a, w)
         else:
-            distance = self.hamming(a) if method == "hamming" else self.edits(a, method == "osa")
+            distance = self.hamming(a) if method == "hamming" else self.dl(a) if method == "dl" else self.edits(a, method == "osa")
             longest = np.maximum(len(a), self.size)
             out = np.where(longest > 0, 1 - distance / np.maximum(longest, 1), 1.0)
         for i in self.long.tolist():

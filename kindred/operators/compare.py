@@ -6,10 +6,9 @@ agrees is joined back to the rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +16,7 @@ from kindred.functions.scalar import MATCH, PARTIAL
 from kindred.functions.similarity import Fuzzy, Many
 from kindred.plans.config import Variable
 
-BLOCK_BYTES = 32 << 20  # of distinct values that one broadcast holds; more go block by block
+BLOCK_VALUES = 10_000  # distinct values of a side that a group holds
 
 
 def distinct_values(df: DataFrame, name: str) -> DataFrame:
@@ -47,37 +46,39 @@ def number_values(a: DataFrame, b: DataFrame, v: Variable) -> DataFrame:
 
 
 def string_values(a: DataFrame, b: DataFrame, v: Variable) -> DataFrame:
-    """Every distinct value of a against every one of b, in numpy, b in blocks of bounded size; only agreeing pairs leave the workers."""
-    left, right = distinct_values(a, v.name), distinct_values(b, v.name)
+    """Every distinct value of a against every one of b, in numpy; only agreeing pairs leave the workers.
+
+    Both sides are dealt to blocks by hash, and each block of a meets each of b in a group of its own, so nothing passes the driver and no
+    task holds more than two blocks. There are at least four groups a core.
+    """
     spark = a.sparkSession
-    size = right.agg(F.coalesce(F.sum(F.octet_length("v") + 8), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    cores = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    left = left.repartition(cores, "v")
+    sides = [distinct_values(a, v.name), distinct_values(b, v.name)]
+    sizes = [x.count() for x in sides]
+    cores = spark.sparkContext.defaultParallelism
+    j = max(1, -(-sizes[1] // BLOCK_VALUES))
+    i = max(1, -(-sizes[0] // BLOCK_VALUES), min(sizes[0], -(-4 * cores // j)))
+    own = lambda n: F.pmod(F.xxhash64("v"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = sides[0].select("v", own(i).alias("i"), F.lit(True).alias("asks")).withColumn("j", each(j))
+    right = sides[1].select("v", own(j).alias("j"), F.lit(False).alias("asks")).withColumn("i", each(i))
     cut = v.cut_b if v.partial else v.cut_a
-    out = None
-    for i in range(blocks):
-        words = spark.sparkContext.broadcast(right.where(F.pmod(F.xxhash64("v"), F.lit(blocks)) == i).toArrow().column("v").to_pylist())
-
-        def run(batches: Iterator[pa.RecordBatch], words=words) -> Iterator[pa.RecordBatch]:
-            others = words.value
-            scorer = None
-            step = 20_000
-            for batch in batches:
-                scorer = scorer or [(Fuzzy(others[j : j + step], v.upper) if v.kind == "fuzzy" else Many(others[j : j + step])) for j in range(0, len(others), step)]
-                va, vb, gamma = [], [], []
-                for x in batch.column(0).to_pylist():
-                    for j, part in enumerate(scorer):
-                        s = part.score(x, v.w) if v.kind == "fuzzy" else np.round(part.score(v.distance, x, v.w), 4)
-                        hit = np.flatnonzero(s >= cut)
-                        va += [x] * len(hit)
-                        vb += [others[j * step + k] for k in hit.tolist()]
-                        gamma += np.where(s[hit] >= v.cut_a, MATCH, PARTIAL).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(va, pa.string()), pa.array(vb, pa.string()), pa.array(gamma, pa.int8())], ["va", "vb", "gamma"])
-
-        part = left.mapInArrow(run, "va string, vb string, gamma byte")
-        out = part if out is None else out.unionByName(part)
-    return out
+
+    def run(table: pa.Table) -> pa.Table:
+        values, asks = table.column("v"), table.column("asks").combine_chunks()
+        words, others = values.filter(asks).to_pylist(), values.filter(pc.invert(asks)).to_pylist()
+        va, vb, gamma = [], [], []
+        if others:
+            scorer = Fuzzy(others, v.upper) if v.kind == "fuzzy" else Many(others)
+            for x in words:
+                s = scorer.score(x, v.w) if v.kind == "fuzzy" else np.round(scorer.score(v.distance, x, v.w, cut), 4)
+                hit = np.flatnonzero(s >= cut)
+                va += [x] * len(hit)
+                vb += [others[k] for k in hit.tolist()]
+                gamma += np.where(s[hit] >= v.cut_a, MATCH, PARTIAL).tolist()
+        return pa.table({"va": pa.array(va, pa.string()), "vb": pa.array(vb, pa.string()), "gamma": pa.array(gamma, pa.int8())})
+
+    both = left.unionByName(right).repartition(min(i * j, 10_000), "i", "j")
+    return both.groupBy("i", "j").applyInArrow(run, "va string, vb string, gamma byte")
 
 
 def agreeing_values(a: DataFrame, b: DataFrame, v: Variable) -> DataFrame:

@@ -1,6 +1,7 @@
 """Linking two tables: comparison, pattern counting, EM, term-frequency adjustment, nesting, and extraction of matches.
 
-Pairs are counted by pattern without becoming rows: values are joined, not rows, and inclusion and exclusion over the subsets of
+Pairs are counted by pattern without becoming rows. Where one side has few distinct rows, they are broadcast, and each distinct row of the
+other side finds those that agree with it somewhere; else values are joined, not rows, and inclusion and exclusion over the subsets of
 variables gives the count of each pattern. Pairs become rows only where their pattern is listed; all pairs do only where a pattern without
 any agreement is.
 """
@@ -8,12 +9,14 @@ any agreement is.
 from __future__ import annotations
 
 import time
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 from itertools import combinations
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +57,11 @@ def dense_pairs(a: DataFrame, b: DataFrame, comparison: cfg.Comparison, sparse:
     return every.join(sparse, ["id_a", "id_b"], "left").select("id_a", "id_b", *(F.coalesce(f"gamma_{i}", F.when(missing(i), F.lit(3)).otherwise(0)).cast("byte").alias(f"gamma_{i}") for i in k))
 
 
+TUPLES = 200_000  # most distinct rows of side b that are broadcast,
+TUPLE_BYTES = 64 << 20  # most bytes of their strings,
+VALUE_PAIRS = 5_000_000  # and most agreeing pairs of values of a variable
+
+
 @dataclass
 class Space:
     """The pairs of two tables under one comparison, counted and listed without making rows of those that don't matter.
@@ -67,6 +75,7 @@ class Space:
     comparison: cfg.Comparison
     nested: dict[str, DataFrame]
     values: dict[int, DataFrame] = field(default_factory=dict)
+    tuples: int = TUPLES
 
     def __post_init__(self) -> None:
         for i, v in enumerate(self.comparison.variables):
@@ -109,18 +118,96 @@ class Space:
         code = reduce(lambda x, y: x + y, (F.col(f"g{i}").cast("long") * 4**i for i in subset))
         return met.groupBy(code.alias("code"), F.col("mask_a").bitwiseOR(F.col("mask_b")).alias("mask")).agg(F.sum(F.col("n_a") * F.col("n_b")).alias("n"))
 
-    def counts(self) -> tuple[np.ndarray, np.ndarray, tuple[int, int]]:
-        """Patterns [n, k], their counts over all pairs, and the sizes of both tables.
-
-        Pairs that agree on at least a subset are counted for every subset of variables; inclusion and exclusion leave those that agree on just
-        the subset. At most 4 ** k rows reach the driver, and the work is in proportion to the rows, not to the pairs.
-        """
-        k, flat = len(self.comparison.variables), self.flat
-        masks = [dict(map(tuple, self.side(w).groupBy(f"mask_{w}").count().collect())) for w in "ab"]
-        least: dict[tuple[int, int], int] = {}  # (code of levels 1 and 2, null mask): pairs
-        for ma, na in masks[0].items():
-            for mb, nb in masks[1].items():
-                least[0, ma | mb] = least.get((0, ma | mb), 0) + na * nb
+    def release(self) -> None:
+        """Gives back what is kept of the values and nested comparisons; it would be made again."""
+        for x in (*self.values.values(), *self.nested.values()):
+            x.unpersist()
+
+    def _histogram(self, which: str) -> DataFrame:
+        return self.side(which).groupBy(f"mask_{which}", *(f"{which}{i}" for i in self.flat)).agg(F.count("*").alias("n"))
+
+    def _few(self) -> pa.Table | None:
+        """The distinct rows of side b, if they and all agreeing pairs of values are few enough to be broadcast."""
+        if not self.flat or not self.tuples:
+            return None
+        hist = self._histogram("b").persist(StorageLevel.MEMORY_AND_DISK)
+        text = [F.octet_length(c) for c, kind in hist.dtypes if kind == "string"]
+        n, size = hist.agg(F.count("*"), F.coalesce(F.sum(reduce(lambda x, y: x + y, (F.coalesce(t, F.lit(0)) for t in text), F.lit(0))), F.lit(0))).first()
+        fits = n <= self.tuples and size <= TUPLE_BYTES and all(x.count() <= VALUE_PAIRS for x in self.values.values())
+        out = hist.toArrow() if fits else None
+        hist.unpersist()
+        return out
+
+    def _met_rows(self, few: pa.Table) -> dict[tuple[int, int], int]:
+        """(code of levels 1 and 2, null mask): number of pairs that agree just so; pairs that agree nowhere are left out."""
+        flat, k = self.flat, len(self.comparison.variables)
+        spots: dict[int, dict[Any, np.ndarray]] = {}  # by variable and value of b, the places of its rows
+        for i in flat:
+            by: dict[Any, list[int]] = {}
+            for at, x in enumerate(few.column(f"b{i}").to_pylist()):
+                if x is not None and x == x:
+                    by.setdefault(x, []).append(at)
+            spots[i] = {x: np.array(at, np.int64) for x, at in by.items()}
+        near: dict[int, dict[Any, list[tuple[Any, int]]]] = {}
+        for i, df in self.values.items():
+            by = near[i] = {}
+            for va, vb, g in zip(*(c.to_pylist() for c in df.select("va", "vb", "gamma").toArrow().columns), strict=True):
+                by.setdefault(va, []).append((vb, g))
+        shared = self.a.sparkSession.sparkContext.broadcast((spots, near, few.column("mask_b").to_numpy().astype(np.int64), few.column("n").to_numpy().astype(float)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            spots, near, mask_b, n_b = shared.value
+            code, none = np.zeros(len(mask_b), np.int64), np.zeros(0, np.int64)
+            found: dict[tuple[int, Any], tuple[np.ndarray, np.ndarray]] = {}
+
+            def meet(i: int, x: Any) -> tuple[np.ndarray, np.ndarray]:
+                """Places of the rows whose variable i agrees with x, and what they add to the code."""
+                if i not in near:
+                    at = spots[i].get(x, none)
+                    return at, np.full(len(at), 2 << 2 * i)
+                hits = [(spots[i][y], g << 2 * i) for y, g in near[i].get(x, ()) if y in spots[i]]
+                if not hits:
+                    return none, none
+                return np.concatenate([at for at, _ in hits]), np.repeat([g for _, g in hits], [len(at) for at, _ in hits])
+
+            keys, weights, held = [], [], 0
+
+            def told() -> pa.RecordBatch:
+                key, back = np.unique(np.concatenate(keys), return_inverse=True)
+                n = np.bincount(back.ravel(), np.concatenate(weights), len(key))
+                return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], ["key", "n"])
+
+            for batch in batches:
+                columns = [c.to_pylist() for c in batch.columns]
+                for mask, n, *row in zip(*columns, strict=True):
+                    for i, x in zip(flat, row, strict=True):
+                        if x is not None and x == x:
+                            if (i, x) not in found:
+                                if len(found) > 20_000:
+                                    found.clear()
+                                found[i, x] = meet(i, x)
+                            at, add = found[i, x]
+                            code[at] += add
+                    t = np.flatnonzero(code)
+                    keys.append(code[t] << k | mask_b[t] | mask)
+                    weights.append(n_b[t] * n)
+                    code[t] = 0
+                    held += len(t)
+                    if held > 1 << 20:
+                        yield told()
+                        keys, weights, held = [], [], 0
+            if keys:
+                yield told()
+
+        rows = self._histogram("a").select("mask_a", "n", *(f"a{i}" for i in flat))
+        spread = rows.repartition(4 * self.a.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "key long, n long")
+        out = {(key >> k, key & (1 << k) - 1): n for key, n in spread.groupBy("key").agg(F.sum("n")).collect()}
+        shared.destroy()
+        return out
+
+    def _by_subset(self, least: dict[tuple[int, int], int]) -> dict[tuple[int, int], int]:
+        """(code, mask): number of pairs that agree just so, from least, which has those of code 0: all pairs by mask."""
+        flat = self.flat
         subsets = [s for r in range(1, len(flat) + 1) for s in combinations(flat, r)]
         for at in range(0, len(subsets), 16):
             for code, mask, n in reduce(DataFrame.unionByName, map(self.agreeing, subsets[at : at + 16])).collect():
@@ -131,6 +218,28 @@ class Space:
             for (code, mask), n in list(exact.items()):
                 if g := code // shift % 4:
                     exact[code - g * shift, mask] -= n
+        return exact
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray, tuple[int, int]]:
+        """Patterns [n, k], their counts over all pairs, and the sizes of both tables.
+
+        Where side b has few distinct rows (TUPLES, TUPLE_BYTES, VALUE_PAIRS) they are broadcast and met by the distinct rows of side a. Else pairs
+        that agree on at least a subset are counted for every subset of variables, and inclusion and exclusion leave those that agree on just the
+        subset; that work is in proportion to the rows, not to the pairs. Either way at most 8 ** k rows reach the driver.
+        """
+        k, flat = len(self.comparison.variables), self.flat
+        masks = [dict(map(tuple, self.side(w).groupBy(f"mask_{w}").count().collect())) for w in "ab"]
+        least: dict[tuple[int, int], int] = {}  # (code of levels 1 and 2, null mask): pairs
+        for ma, na in masks[0].items():
+            for mb, nb in masks[1].items():
+                least[0, ma | mb] = least.get((0, ma | mb), 0) + na * nb
+        if (few := self._few()) is not None:
+            exact = self._met_rows(few)
+            for (_, mask), n in list(exact.items()):
+                least[0, mask] -= n
+            exact |= least
+        else:
+            exact = self._by_subset(least)
         digits = lambda code: [code // 4**i % 4 for i in range(k)]
         counts: dict[tuple[int, ...], int] = {}
         for (code, mask), n in exact.items():
@@ -222,6 +331,12 @@ class Link:
         """tf_adjusted() of all pairs that agree somewhere; None without adjusted variables."""
         return tf_adjusted(self, self.pairs(), self.tf_base) if self.tf_base else None
 
+    def release(self) -> None:
+        """Gives back what this link and its nested ones keep in memory and on disk."""
+        self.space.release()
+        for child in self.children.values():
+            child.release()
+
     @property
     def gammas(self) -> list[str]:
         return [f"gamma_{i}" for i in range(1, len(self.comparison.variables) + 1)]

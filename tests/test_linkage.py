@@ -47,8 +47,9 @@ def test_counts_are_those_of_all_pairs(people):
     a, b, da, db = people
     c = cfg.parse({"variables": VARIABLES})[0]
     all_pairs = {(x[0], y[0]): gammas(x, y) for x, y in itertools.product(a, b)}
-    patterns, counts, dims = Space(da, db, c, {}).counts()
-    assert dims == (70, 50) and {tuple(p): n for p, n in zip(patterns.tolist(), counts.tolist(), strict=True)} == Counter(all_pairs.values())
+    for tuples in (200_000, 0):  # side b broadcast, and joins by subset
+        patterns, counts, dims = Space(da, db, c, {}, tuples=tuples).counts()
+        assert dims == (70, 50) and {tuple(p): n for p, n in zip(patterns.tolist(), counts.tolist(), strict=True)} == Counter(all_pairs.values())
     dense = dense_pairs(da, db, c, gamma_pairs(da, db, c, {})).collect()
     assert {(r[0], r[1]): tuple(r[2:]) for r in dense} == all_pairs and len(dense) == len(all_pairs)
     wanted = [p for p in patterns.tolist() if sum(g in (1, 2) for g in p) >= 2][::2]
