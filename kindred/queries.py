@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kindred import oracles
 from kindred.functions import scalar
 from kindred.operators import compare
-from kindred.operators.link import link, pattern_counts
+from kindred.operators.link import Link, link, pattern_counts
+from kindred.people import PEOPLE_A, PEOPLE_B, TRUE
+from kindred.people import WITH as PEOPLE
 from kindred.plans import config as cfg
 from kindred.sources import tables
 
@@ -27,6 +30,11 @@ def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return tuple(spark.sql(q.replace("from part", "from {part}"), part=part) for q in (SIDE_A, SIDE_B))
 
 
+def people(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return tuple(spark.sql(q.replace("from customer", "from {customer}"), customer=customer) for q in (PEOPLE_A, PEOPLE_B))
+
+
 VARIABLES = [
     {"varname": "name", "method": "jarowinkler"},
     {"varname": "brand", "method": "exact"},
@@ -36,16 +44,64 @@ VARIABLES = [
 CONFIG = {"idvar": ["id_a", "id_b"], "comparisons": {"name": "total", "variables": VARIABLES}}
 PRICED = {"idvar": ["id_a", "id_b"], "comparisons": {"name": "total", "variables": [*VARIABLES, {"varname": "price", "method": "float"}]}}
 TF = {"idvar": ["id_a", "id_b"], "comparisons": {"name": "total", "variables": [x | ({"tf_adjust": True} if x["varname"] in ("name", "brand") else {}) for x in PRICED["comparisons"]["variables"]]}}
-NESTED = {
+#: Three names by similarity and a number: the plain comparison of two rosters.
+ROSTER = {
+    "idvar": ["id_a", "id_b"],
+    "comparisons": {"name": "total", "variables": [{"varname": v, "method": "jarowinkler"} for v in ("first", "middle", "last")] + [{"varname": "house", "method": "numeric"}]},
+}
+#: Seven variables, an address as a comparison of its own, priors, and term frequencies on most of them.
+HOUSEHOLD = {
     "idvar": ["id_a", "id_b"],
     "comparisons": {
-        "name": "total", "threshold_match": 0.88, "variables": [
-            {"varname": "name", "method": "fuzzy", "tf_adjust": True},
-            {"varname": "price", "method": "float"},
-            {"comparisons": {"name": "make", "threshold_match": 0.85, "variables": [{"varname": "brand", "method": "exact", "tf_adjust": True}, {"varname": "type", "method": "exact"}, {"varname": "size", "method": "numeric"}]}},
+        "name": "total", "prior_lambda": 0.000001, "w_lambda": 0.5, "threshold_match": 0.88, "variables": [
+            {"varname": "first", "method": "fuzzy", "partial": True, "cut_a": 0.92, "cut_b": 0.88, "upper": True, "tf_adjust": True, "w": 0.1},
+            {"varname": "middle", "method": "exact"},
+            {"varname": "last", "method": "jarowinkler", "tf_adjust": True},
+            {"varname": "born", "method": "exact"},
+            {"comparisons": {"name": "address", "threshold_match": 0.92, "variables": [
+                {"varname": "house", "method": "exact", "tf_adjust": True},
+                {"varname": "street", "method": "jarowinkler", "w": 0.1, "tf_adjust": True, "tf_adjustment_weight": 0.25, "tf_minimum_u_value": 0.001},
+                {"varname": "city", "method": "jarowinkler", "tf_adjustment_weight": 0.15, "tf_adjust": True},
+            ]}},
         ],
     },
 }
+#: The comparison that the published figures are of: two similar and one equal variable, each of them twice.
+SIX_BASE = [("first", "jarowinkler"), ("street", "jarowinkler"), ("middle", "exact")]
+
+
+def six(tf: bool) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        a, b = (x.select("*", *(F.col(v).alias(f"{v}1") for v, _ in SIX_BASE)) for x in people(spark, sf_dir))
+        variables = [{"varname": f"{v}{n}", "method": m, "tf_adjust": tf} for v, m in SIX_BASE for n in ("", "1")]
+        got = link(a, b, {"idvar": ["id_a", "id_b"], "comparisons": {"name": "total", "threshold_match": 0.88, "variables": variables}})
+        return _adjusted(got) if tf else _listed(got)
+
+    return run
+
+
+def _listed(got: Link) -> DataFrame:
+    return got.matches().withColumn("zeta_j", F.round("zeta_j", 6))
+
+
+def _adjusted(got: Link) -> DataFrame:
+    tf = got.tf_matches()
+    return tf.select("id_a", "id_b", "pattern_id", *(F.round(c, 6).alias(c) for c in tf.columns if c.startswith("tf_") and c != "tf_adjusted"), F.round("final_weight", 5).alias("final_weight"), F.round("final_zeta", 6).alias("final_zeta"), "is_match", "tf_adjusted")
+
+
+def _patterns(got: Link) -> DataFrame:
+    rounded = ("weights", "p_gamma_jm", "p_gamma_ju", "zeta_j")
+    return got.patterns.select("pattern_id", *(F.col(g).cast("int").alias(g) for g in got.gammas), "counts", *(F.round(c, 6).alias(c) for c in rounded), "is_match")
+
+
+def _parameters(got: Link) -> DataFrame:
+    return got.parameters.select("variable", "level", F.round("p_m", 6).alias("p_m"), F.round("p_u", 6).alias("p_u"))
+
+
+def _summary(got: Link) -> DataFrame:
+    x = got.summary
+    row = (round(x["p_m"], 9), round(x["p_u"], 9), int(x["number_of_comparisons"]), int(x["number_of_unique_patterns"]), int(x["iter_converge"]), float(x["threshold_match"]))
+    return got.spark.createDataFrame([row], "p_m double, p_u double, number_of_comparisons long, number_of_unique_patterns long, iter_converge long, threshold_match double")
 
 
 def _gammas(variable: dict) -> Callable[[SparkSession, str], DataFrame]:
@@ -138,11 +194,19 @@ def _similarity_sql(score: str) -> str:
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: link both sides on name, brand, type and size, and list the matches."""
-    return link(*sides(spark, sf_dir), CONFIG).matches()
+    return _listed(link(*sides(spark, sf_dir), CONFIG))
 
 
-def _of(config: dict, pick: Callable) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: pick(link(*sides(spark, sf_dir), config))
+def _of(config: dict, pick: Callable, tables: Callable = sides) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: pick(link(*tables(spark, sf_dir), config))
+
+
+def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each comparison of the people finds nine of ten planted pairs."""
+    a, b = people(spark, sf_dir)
+    planted = a.where("id_a % 4 <> 0").count()
+    found = [("roster", link(a, b, ROSTER).matches()), ("household", link(a, b, HOUSEHOLD).tf_matches())]
+    return spark.createDataFrame([(name, x.where(TRUE).count() >= 0.9 * planted) for name, x in found], "comparison string, found_nine_tenths boolean")
 
 
 def scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,17 +249,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tf_table": tf_table,
     "scalar_functions": scalars,
     "soundex": lambda s, d: sides(s, d)[0].select("id_a", scalar.soundex(F.col("name")).alias("code"), scalar.soundex(F.col("name"), strict=True).alias("strict_code")),
+    "soundex_people": lambda s, d: people(s, d)[1].select("id_b", scalar.soundex(F.col("last")).alias("code"), scalar.soundex(F.col("last"), strict=True).alias("strict_code")),
     "dictionary": lambda s, d: compare.distinct_values(sides(s, d)[1], "brand"),
     "cardinalities": lambda s, d: tables.cardinalities(sides(s, d)[1], "name", "brand", "type", "size"),
     "row_hash": lambda s, d: tables.with_row_hash(sides(s, d)[0], "row_id").select(F.count_distinct("row_id").alias("ids"), F.count("*").alias("n_rows")),
     "link_matches": matches,
-    "link_patterns": _of(CONFIG, lambda x: x.patterns),
-    "link_parameters": _of(CONFIG, lambda x: x.parameters),
-    "link_five_variables": _of(PRICED, lambda x: x.matches(0.9)),
+    "link_patterns": _of(CONFIG, _patterns),
+    "link_parameters": _of(CONFIG, _parameters),
+    "link_summary": _of(CONFIG, _summary),
+    "link_five_variables": _of(PRICED, lambda x: x.matches(0.9).withColumn("zeta_j", F.round("zeta_j", 6))),
     "link_true_pairs": _of(PRICED, lambda x: x.matches().where("id_b - 1000000 = id_a").select("id_a", "id_b")),
     "link_all_pairs": _of(CONFIG, lambda x: x.patterns.select("pattern_id", F.col("counts").alias("pairs"))),
-    "link_tf": _of(TF, lambda x: x.tf_matches()),
-    "link_nested": _of(NESTED, lambda x: x.matches()),
+    "link_tf": _of(TF, _adjusted),
+    "roster_matches": _of(ROSTER, _listed, people),
+    "roster_patterns": _of(ROSTER, _patterns, people),
+    "household_address": _of(HOUSEHOLD, lambda x: x.children["address"].decided(), people),
+    "household_matches": _of(HOUSEHOLD, _listed, people),
+    "household_tf": _of(HOUSEHOLD, _adjusted, people),
+    "planted_truth": _truth,
+    "link_six": six(False),
+    "link_six_tf": six(True),
 }
 ORACLES: dict[str, str] = {
     "gamma_exact": _gamma_sql("brand", "a.brand = b.brand"),
@@ -224,3 +297,71 @@ ORACLES: dict[str, str] = {
     " select row_number() over (order by gamma_1, gamma_2, gamma_3, gamma_4) - 1 as pattern_id, pairs from p",
     "row_hash": f"{WITH} select count(*) as ids, count(*) as n_rows from a",
 }
+
+THREE, TWO = oracles.THREE, oracles.TWO
+LEVELS = [oracles.jaro_winkler("name"), oracles.equal("brand"), oracles.equal("type"), oracles.near("size"), oracles.near("price")]
+KINDS = [THREE, TWO, TWO, THREE, THREE]
+RECURSIVE = WITH.replace("with a as", "with recursive a as", 1)
+LINKED = f"{RECURSIVE}, {oracles.pairs('t', LEVELS[:4])}, {oracles.em('t', KINDS[:4])}"
+PRICED_SQL = f"{RECURSIVE}, {oracles.pairs('t', LEVELS)}, {oracles.em('t', KINDS)}"
+ROSTER_SQL = f"{PEOPLE}, {oracles.pairs('t', [*map(oracles.jaro_winkler, ('first', 'middle', 'last')), oracles.near('house')])}, {oracles.em('t', [THREE] * 4)}"
+ADDRESS_SQL = (
+    f"{PEOPLE}, {oracles.pairs('i', [oracles.equal('house'), oracles.jaro_winkler('street'), oracles.jaro_winkler('city')])}, {oracles.em('i', [TWO, THREE, THREE])}, "
+    + oracles.adjusted("i", 3, [(1, "house", "exact", 1.0), (2, "street", "string", 0.25), (3, "city", "string", 0.15)])
+)
+FIRST = "case when a.first is null or b.first is null then 3 when f.score >= 0.92 then 2 when f.score >= 0.88 then 1 else 0 end"
+WITHIN = "case when d.id_a is null then 0 else 2 end"
+HOUSEHOLD_SQL = (
+    f"{ADDRESS_SQL}, d as (select id_a, id_b from i_f where final_zeta >= 0.92), {oracles.fuzzy('f', 'first')}, "
+    + oracles.pairs("t", [FIRST, oracles.equal("middle"), oracles.jaro_winkler("last"), oracles.equal("born"), WITHIN], " left join f on a.first = f.va and b.first = f.vb left join d on a.id_a = d.id_a and b.id_b = d.id_b")
+    + f", {oracles.em('t', [THREE, TWO, THREE, TWO, TWO], 0.000001, 0.5)}"
+)
+SIX_SQL = f"{PEOPLE}, {oracles.pairs('t', [x for x in (oracles.jaro_winkler('first'), oracles.jaro_winkler('street'), oracles.equal('middle')) for _ in '12'])}, {oracles.em('t', [THREE] * 4 + [TWO] * 2)}"
+
+
+def _list_sql(k: int, threshold: float) -> str:
+    return f" select g.id_a, g.id_b, z.pattern_id, round(z.zeta, 6) as zeta_j from {oracles.on_pattern('t', k)} where z.zeta >= {threshold}"
+
+
+def _tf_sql(tag: str, variables: list[str], threshold: float) -> str:
+    tf = ", ".join(f"round(tf_{v}, 6) as tf_{v}" for v in variables)
+    return f" select id_a, id_b, pattern_id, {tf}, round(final_weight, 5) as final_weight, round(final_zeta, 6) as final_zeta, true as is_match, tf_adjusted from {tag}_f where final_zeta >= {threshold}"
+
+
+def _pattern_sql(k: int, threshold: float) -> str:
+    levels = ", ".join(f"nullif(gamma_{i}, 3) as gamma_{i}" for i in range(1, k + 1))
+    return f" select pattern_id, {levels}, n as counts, round(w, 6) as weights, round(p_gamma_jm, 6) as p_gamma_jm, round(p_gamma_ju, 6) as p_gamma_ju, round(zeta, 6) as zeta_j, zeta >= {threshold} as is_match from t_n"
+
+
+def _scored_sql(of: str, a: float = 0.92, b: float = 0.88) -> str:
+    """Levels of names by CTE s(va, vb, score), counted as _gammas() does."""
+    g = f"case when s.score >= {a} then 2 when s.score >= {b} then 1 else 0 end"
+    return f"{RECURSIVE}, {of}, g as (select id_a, id_b, {g} as gamma from a join s on a.name = s.va join b on b.name = s.vb) select gamma, count(*) as pairs, cast(sum(id_a * (id_b % 1009)) as bigint) as mark from g group by gamma"
+
+
+ORACLES |= {
+    "gamma_osa": _scored_sql(f"{oracles.names('name')}, {oracles.OSA.replace('select va, vb, 1 - ', 'select va, vb, round(1 - ').replace(' as score', ', 4) as score')}"),
+    "gamma_ratcliff": _scored_sql(f"{oracles.names('name')}, {oracles.RATCLIFF.replace('select va, vb, 2 *', 'select va, vb, round(2 *').replace(' as score', ', 4) as score')}"),
+    "gamma_fuzzy": _scored_sql(oracles.fuzzy("s", "name")),
+    "values_fuzzy": f"{RECURSIVE}, {oracles.fuzzy('s', 'name')} select va, vb, case when score >= 0.9 then 2 else 1 end as gamma from s where score >= 0.6",
+    "soundex": f"{WITH} select id_a, {oracles.soundex('name')[0]} as code, {oracles.soundex('name')[1]} as strict_code from a",
+    "soundex_people": f"{PEOPLE} select id_b, {oracles.soundex('last')[0]} as code, {oracles.soundex('last')[1]} as strict_code from b",
+    "link_matches": LINKED + _list_sql(4, 0.85),
+    "link_patterns": LINKED + _pattern_sql(4, 0.85),
+    "link_parameters": LINKED
+    + " select variable, level, round(m[place], 6) as p_m, round(u[place], 6) as p_u from t_last, (values "
+    + ", ".join(f"('{v}', {x}, {4 * i + x + 1})" for i, (v, kind) in enumerate(zip(("name", "brand", "type", "size"), KINDS, strict=False)) for x in kind)
+    + ") as l(variable, level, place)",
+    "link_summary": LINKED
+    + " select round(p_m, 9) as p_m, round(1 - p_m, 9) as p_u, (select count(*) from a) * (select count(*) from b) as number_of_comparisons, (select count(*) from t_p) as number_of_unique_patterns, r as iter_converge, 0.85::double as threshold_match from t_last",
+    "link_five_variables": PRICED_SQL + _list_sql(5, 0.9),
+    "link_true_pairs": f"{PRICED_SQL} select g.id_a, g.id_b from {oracles.on_pattern('t', 5)} where z.zeta >= 0.85 and g.id_b - 1000000 = g.id_a",
+    "link_tf": f"{PRICED_SQL}, {oracles.adjusted('t', 5, [(1, 'name', 'string', 1.0), (2, 'brand', 'exact', 1.0)])}" + _tf_sql("t", ["name", "brand"], 0.85),
+    "roster_matches": ROSTER_SQL + _list_sql(4, 0.85),
+    "roster_patterns": ROSTER_SQL + _pattern_sql(4, 0.85),
+    "household_address": f"{ADDRESS_SQL} select id_a, id_b from i_f where final_zeta >= 0.92",
+    "household_matches": HOUSEHOLD_SQL + _list_sql(5, 0.88),
+    "household_tf": f"{HOUSEHOLD_SQL}, {oracles.adjusted('t', 5, [(1, 'first', 'fuzzy', 1.0), (3, 'last', 'string', 1.0)])}" + _tf_sql("t", ["first", "last"], 0.88),
+    "planted_truth": "select unnest(['roster', 'household']) as comparison, true as found_nine_tenths",
+    "link_six": SIX_SQL + _list_sql(6, 0.88),
+}
