@@ -297,4 +297,5 @@ class Fuzzy:
         for k in range(4):
             run &= (exact >> k & 1) == 1
             head += run
-        return np.where(matches > 0, base + w * head * (1 - base), np.nan)
+        base = np.where(matches > 0, base, np.nan)
+        return base + w * head * (1 - base)

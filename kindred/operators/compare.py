@@ -100,7 +100,7 @@ def agreeing_pairs(a: DataFrame, b: DataFrame, v: Variable, keep_a: tuple[str, .
     return agreeing_values(a, b, v).join(left, "va").join(right, "vb").select("id_a", "id_b", "gamma", *keep_a, *keep_b)
 
 
-def term_frequencies(df: DataFrame, v: Variable) -> DataFrame:
-    """(v, tf): each value's share of all rows, nulls among them, at least the floor."""
-    n = df.count()
+def term_frequencies(df: DataFrame, v: Variable, rows: int | None = None) -> DataFrame:
+    """(v, tf): each value's share of all rows (counted unless told), nulls among them, at least the floor."""
+    n = df.count() if rows is None else rows
     return df.where(F.col(v.name).isNotNull()).groupBy(F.col(v.name).alias("v")).agg(F.greatest(F.count("*") / F.lit(n), F.lit(v.tf_minimum_u_value)).alias("tf"))

@@ -76,6 +76,7 @@ class Space:
     nested: dict[str, DataFrame]
     values: dict[int, DataFrame] = field(default_factory=dict)
     tuples: int = TUPLES
+    sizes: dict[str, int] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         for i, v in enumerate(self.comparison.variables):
@@ -118,6 +119,11 @@ class Space:
         code = reduce(lambda x, y: x + y, (F.col(f"g{i}").cast("long") * 4**i for i in subset))
         return met.groupBy(code.alias("code"), F.col("mask_a").bitwiseOR(F.col("mask_b")).alias("mask")).agg(F.sum(F.col("n_a") * F.col("n_b")).alias("n"))
 
+    def size(self, which: str) -> int:
+        if which not in self.sizes:
+            self.sizes[which] = getattr(self, which).count()
+        return self.sizes[which]
+
     def release(self) -> None:
         """Gives back what is kept of the values and nested comparisons; it would be made again."""
         for x in (*self.values.values(), *self.nested.values()):
@@ -229,6 +235,7 @@ class Space:
         """
         k, flat = len(self.comparison.variables), self.flat
         masks = [dict(map(tuple, self.side(w).groupBy(f"mask_{w}").count().collect())) for w in "ab"]
+        self.sizes |= {w: sum(x.values()) for w, x in zip("ab", masks, strict=True)}
         least: dict[tuple[int, int], int] = {}  # (code of levels 1 and 2, null mask): pairs
         for ma, na in masks[0].items():
             for mb, nb in masks[1].items():
@@ -259,8 +266,8 @@ class Space:
     def _beside(self, pairs: DataFrame) -> DataFrame:
         return pairs.join(self.side("a"), "id_a").join(self.side("b"), "id_b")
 
-    def levels(self, pairs: DataFrame) -> DataFrame:
-        """id_a, id_b, gamma_1 .. gamma_k of pairs that carry the values of both sides."""
+    def levels(self, pairs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+        """id_a, id_b, gamma_1 .. gamma_k, and the columns to keep, of pairs that carry the values of both sides."""
         out, kinds = pairs, dict(pairs.dtypes)
         for i, v in enumerate(self.comparison.variables):
             x, y = F.col(f"a{i}"), F.col(f"b{i}")
@@ -275,35 +282,37 @@ class Space:
                 same = (x == y) & ~F.isnan(x) if kinds[f"a{i}"] in ("double", "float") else x == y
                 g = F.when(x.isNull() | y.isNull(), 3).when(same, 2).otherwise(0)
             out = out.withColumn(f"gamma_{i + 1}", g.cast("byte")).drop("hit")
-        return out.select("id_a", "id_b", *(f"gamma_{i + 1}" for i in range(len(self.comparison.variables))))
+        return out.select("id_a", "id_b", *(f"gamma_{i + 1}" for i in range(len(self.comparison.variables))), *keep)
 
-    def with_patterns(self, patterns: np.ndarray) -> DataFrame:
-        """id_a, id_b, gamma_1 .. gamma_k of the pairs that have one of the patterns.
+    def with_patterns(self, patterns: np.ndarray, values: tuple[int, ...] = ()) -> DataFrame:
+        """id_a, id_b, gamma_1 .. gamma_k of the pairs that have one of the patterns, and columns a<i>, b<i> of the variables told.
 
         Only pairs that agree wherever such a pattern does are made rows; a pattern without any agreement needs all pairs.
         """
+        keep = tuple(f"{w}{i}" for i in values for w in "ab")
         agree = {tuple(np.flatnonzero((p == 1) | (p == 2)).tolist()) for p in patterns}
         k = len(self.comparison.variables)
         if () in agree:
             found = dense_pairs(self.a, self.b, self.comparison, gamma_pairs(self.a, self.b, self.comparison, self.nested))
+            for w in "ab" if values else "":
+                found = found.join(self.side(w).select(f"id_{w}", *(f"{w}{i}" for i in values)), f"id_{w}")
         else:
             covers = sorted((s for s in agree if not any(set(t) < set(s) for t in agree)), key=lambda s: (len(s), s))
-            parts, before = [], []
-            for cover in covers:
+            columns = [c for w in "ab" for c in self.side(w).columns]
+            parts = [self._beside(self.a.select("id_a").limit(0).join(self.b.select("id_b").limit(0))).select(*columns, F.lit(0).alias("cover"))] if not covers else []
+            for n, cover in enumerate(covers):
                 inner = [i for i in cover if i not in self.flat]
                 if inner:
                     part = self._beside(self.nested[self.comparison.variables[inner[0]].name].select("id_a", "id_b").distinct())
                 else:
                     left, right = (self._usable(self.side(w), [f"{w}{i}" for i in cover]) for w in "ab")
-                    part = self._met(left, right, cover).drop(*(f"g{i}" for i in cover))
-                part = self.levels(part)
-                on = lambda s: reduce(lambda x, y: x & y, (F.col(f"gamma_{i + 1}").isin(1, 2) for i in s))
-                # a pair is listed under the first cover that has it
-                parts.append(part.where(on(cover) & ~reduce(lambda x, y: x | y, map(on, before), F.lit(False))))
-                before.append(cover)
-            if not parts:
-                return self.levels(self._beside(self.a.select("id_a").limit(0).join(self.b.select("id_b").limit(0))))
-            found = reduce(DataFrame.unionByName, parts)
+                    part = self._met(left, right, cover)
+                parts.append(part.select(*columns, F.lit(n).alias("cover")))
+            met = self.levels(reduce(DataFrame.unionByName, parts), ("cover", *keep))
+            # a pair is listed under the first cover that has it
+            on = lambda s: reduce(lambda x, y: x & y, (F.col(f"gamma_{i + 1}").isin(1, 2) for i in s))
+            first = F.coalesce(*(F.when(on(s), F.lit(n)) for n, s in enumerate(covers)), F.lit(-1))
+            found = met.where(F.col("cover") == first).drop("cover")
         kinds = ", ".join(f"gamma_{i + 1} byte" for i in range(k))
         wanted = self.a.sparkSession.createDataFrame([tuple(map(int, p)) for p in patterns], kinds)
         return found.join(F.broadcast(wanted), [f"gamma_{i + 1}" for i in range(k)], "left_semi")
@@ -377,8 +386,8 @@ class Link:
         found = gamma_pairs(x.a, x.b, x.comparison, x.nested)
         return self._numbered(dense_pairs(x.a, x.b, x.comparison, found) if every else found)
 
-    def _hit(self, hit: np.ndarray) -> DataFrame:
-        return self._numbered(self.space.with_patterns(self.fit.patterns[hit]))
+    def _hit(self, hit: np.ndarray, values: tuple[int, ...] = ()) -> DataFrame:
+        return self._numbered(self.space.with_patterns(self.fit.patterns[hit], values))
 
     def matches(self, threshold: float | None = None) -> DataFrame:
         """The two id columns, pattern_id and zeta_j of pairs with zeta_j at or above the threshold (the configured one by default)."""
@@ -396,7 +405,8 @@ class Link:
                     best = best + np.where(f.patterns[:, i] == g, gain, 0.0)
         with np.errstate(over="ignore"):
             can = 1 / (1 + np.exp(-best)) >= f.threshold - 1e-9
-        return tf_adjusted(self, self._hit(can), self.tf_base).where("is_match")
+        values = tuple(i for i, v in enumerate(self.comparison.variables) if v.tf_adjust and v.kind in ("exact", "string", "fuzzy"))
+        return tf_adjusted(self, self._hit(can, values), self.tf_base).where("is_match")
 
     def decided(self) -> DataFrame:
         """id_a, id_b of the pairs that a nested comparison passes up: by adjusted weight if there is one, else by weight without prior."""
@@ -433,9 +443,12 @@ def tf_adjusted(link: Link, pairs: DataFrame, prior_base: str = "2") -> DataFram
         if v.kind == "numeric":
             out = out.withColumn(f"tf_{v.name}", F.lit(1.0))
         else:
-            for side, df, key in (("a", link.space.a, "id_a"), ("b", link.space.b, "id_b")):
-                tf = term_frequencies(df, v).select(F.col("v").alias(v.name), F.col("tf").alias(f"tf_{side}"))
-                out = out.join(df.select(key, v.name).join(tf, v.name).select(key, f"tf_{side}"), key, "left")
+            for side in "ab":
+                value = f"{side}{i - 1}"
+                if value not in out.columns:
+                    out = out.join(link.space.side(side).select(f"id_{side}", value), f"id_{side}", "left")
+                tf = term_frequencies(getattr(link.space, side), v, link.space.size(side)).select(F.col("v").alias(value), F.col("tf").alias(f"tf_{side}"))
+                out = out.join(tf, value, "left")
             out = out.withColumn(f"tf_{v.name}", tf_denominator(F.col("tf_a"), F.col("tf_b"), v.kind == "exact")).drop("tf_a", "tf_b")
         relevant = F.col(f"gamma_{i}").isin(1, 2)
         total = total + F.when(relevant, tf_weight(u, F.col(f"tf_{v.name}"), v.tf_adjustment_weight)).otherwise(0.0)
