@@ -1,36 +1,11 @@
-"""Column functions: levels of agreement, term-frequency weights, probabilities, phonetic codes."""
+"""Column functions: term-frequency weights, probabilities, phonetic codes."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NONMATCH, PARTIAL, MATCH, MISSING = 0, 1, 2, 3
-
-
-def level(score: Column, cut_a: float, cut_b: float, partial: bool = True) -> Column:
-    """2 from cut_a on, 1 from cut_b on (if partial), else 0; a null or NaN score is 0."""
-    score = F.when(~F.isnan(score), score)
-    out = F.when(score >= cut_a, MATCH)
-    return (out.when(score >= cut_b, PARTIAL) if partial else out).otherwise(NONMATCH).cast("byte")
-
-
-def missing_or(a: Column, b: Column, otherwise: Column) -> Column:
-    """3 where either value is null."""
-    return F.when(a.isNull() | b.isNull(), F.lit(MISSING)).otherwise(otherwise).cast("byte")
-
-
-def number_level(a: Column, b: Column, cut_a: float = 1, cut_b: float = 2, partial: bool = True) -> Column:
-    """Of the absolute difference: at most cut_a 2, at most cut_b 1; with one cut, below it 2. NaN agrees with nothing."""
-    d = F.abs(a - b)
-    d = F.when(~F.isnan(d.cast("double")), d)
-    out = F.when(d <= cut_a, MATCH).when(d <= cut_b, PARTIAL) if partial else F.when(d < cut_a, MATCH)
-    return missing_or(a, b, out.otherwise(NONMATCH))
-
-
-def levenshtein_similarity(a: Column, b: Column) -> Column:
-    longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, 1.0).otherwise(F.bround(1 - F.levenshtein(a, b) / longest, 4))
+PARTIAL, MATCH = 1, 2
 
 
 def probability(weight: Column, base: str = "e") -> Column:

@@ -369,10 +369,22 @@ class Link:
         rows = [(v, int(x), float(m), float(u)) for v, xs, ms, us in zip(f.variables, f.levels, f.pgamma_km, f.pgamma_ku, strict=True) for x, m, u in zip(xs, ms, us, strict=True)]
         return self.spark.createDataFrame(rows, "variable string, level int, p_m double, p_u double")
 
+    @property
+    def patterns_b(self) -> list[tuple[int, ...]]:
+        """The patterns observed, in the order of their numbers: 0 apart, 1 in part, 2 alike, 3 missing."""
+        return [tuple(map(int, p)) for p in self.fit.patterns]
+
+    @property
+    def level_shares(self) -> DataFrame:
+        """variable (its number), level (3: missing), share of all pairs."""
+        f, n = self.fit, self.fit.counts.sum()
+        rows = [(i, int(g), float(f.counts[f.patterns[:, i - 1] == g].sum() / n)) for i in range(1, len(f.variables) + 1) for g in np.unique(f.patterns[:, i - 1])]
+        return self.spark.createDataFrame(rows, "variable int, level int, share double")
+
     @property
     def summary(self) -> dict[str, Any]:
         f = self.fit
-        return {"p_m": f.p_m, "p_u": f.p_u, "number_of_comparisons": f.comparisons, "number_of_unique_patterns": len(f.counts), "iter_converge": f.iterations, "threshold_match": f.threshold, "varnames": f.variables}
+        return {"obs_a": self.space.size("a"), "obs_b": self.space.size("b"), "p_m": f.p_m, "p_u": f.p_u, "number_of_comparisons": f.comparisons, "number_of_unique_patterns": len(f.counts), "iter_converge": f.iterations, "threshold_match": f.threshold, "varnames": f.variables}
 
     def _numbered(self, pairs: DataFrame) -> DataFrame:
         """pairs with pattern_id, zeta_j, weights; the pattern table has at most 4 ** k rows."""

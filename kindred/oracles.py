@@ -30,7 +30,7 @@ def near(v: str, one: float = 1, two: float = 2) -> str:
     return level(v, f"abs(a.{v} - b.{v}) <= {one}", f"abs(a.{v} - b.{v}) <= {two}")
 
 
-def em(tag: str, kinds: Iterable[tuple[int, ...]], prior: float = 0.0, weight: float = 0.0, start: float = 0.1, tol: float = 1e-5) -> str:
+def em(tag: str, kinds: Iterable[tuple[int, ...]], prior: float = 0.0, weight: float = 0.0, start: float = 0.1, tol: float = 1e-5, address: tuple[int, ...] = (), prior_pi: float = 0.0, w_pi: float = 0.0) -> str:
     """CTEs over {tag}_g(id_a, id_b, gamma_1 ..): {tag}_p (patterns and counts), {tag}_em (parameters by round), {tag}_z (p and zeta, w).
 
     A round's lists m and u have four places a variable: levels 0 to 2 and missing, which weighs 1. Sums of a variable's levels are put
@@ -53,10 +53,14 @@ def em(tag: str, kinds: Iterable[tuple[int, ...]], prior: float = 0.0, weight: f
         for i, kind in enumerate(kinds)
         for c, order, what in (("m", "sort", "n * zeta"), ("u", "reverse_sort", "n * (1 - zeta)"))
     )
-    new = lambda c: ", ".join(places([f"{c}{i}[{j + 1}] / list_sum({c}{i})" for j in range(len(kind))], kind) for i, kind in enumerate(kinds))
     pairs = f"(select sum(n) from {tag}_p)"
     mu = f"({prior!r}::double * {weight / (1 - weight)!r} * {pairs} + 1)" if prior and weight else "1.0::double"
     psi = f"({(1 - prior) / prior!r}::double * {mu})" if prior and weight else "1.0::double"
+    # an address variable's lowest level gets a0 more matches, each other one a0 * (1 - prior_pi) / prior_pi
+    a0 = f"({w_pi / (1 - w_pi)!r}::double * {prior_pi!r} * {prior!r} * {pairs} + 1)"
+    more = lambda c, i, j: "" if c == "u" or i not in address else f" + {a0}" + (f" * {(1 - prior_pi) / prior_pi!r}" if j else "")
+    value = lambda c, i, j: f"({c}{i}[{j + 1}]{more(c, i, j)})"
+    new = lambda c: ", ".join(places([f"{value(c, i, j)} / ({' + '.join(value(c, i, x) for x in range(len(kind)))})" for j in range(len(kind))], kind) for i, kind in enumerate(kinds))
     step = lambda c: f"list_max([abs(x[1] - x[2]) for x in list_zip(new_{c}, {c})])"
     return f"""{tag}_p as (select {names}, count(*) as n, row_number() over (order by {names}) - 1 as pattern_id from {tag}_g group by {names}),
   {tag}_em(r, p_m, m, u, change) as (

@@ -8,10 +8,13 @@ from __future__ import annotations
 
 SYLLABLES = "BARDELCINFOXGUMHATJEPKIVLODMUSNAZPERQUISOBTYKVUNWEGXALZIDBROCLEDRAFLUGHYPTRAVEESKOWHIM"[:75]
 PRIME = 2147483647
+FAMILY = (3, 4, 5, 7)  # draws that one person in six shares with the person before: last name and address
+MULTIPLIERS = (48271, 39373, 16807, 62089, 44485, 30269, 52849)
 
 
 def _draw(salt: int) -> str:
-    return f"((p + {salt * 100003}) * 48271 % {PRIME}) * 69621 % {PRIME} * 40692 % {PRIME} / {PRIME}.0D"
+    key = "case when p % 6 = 1 then p - 1 else p end" if salt in FAMILY else "p"
+    return f"((({key}) + {salt * 100003}) * {MULTIPLIERS[salt - 1]} % {PRIME}) * 69621 % {PRIME} * 40692 % {PRIME} / {PRIME}.0D"
 
 
 def _word(n: str, endings: tuple[str, ...]) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,8 +32,11 @@ def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def people(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    return tuple(spark.sql(q.replace("from customer", "from {customer}"), customer=customer) for q in (PEOPLE_A, PEOPLE_B))
+    """Both sides as tables of their own: their expressions are too long to be worked out in every scan of a link."""
+    customer, path = spark.read.parquet(f"{sf_dir}/customer.parquet"), f"{tables.scratch(spark)}/people-{uuid.uuid4().hex}"
+    for side, q in (("a", PEOPLE_A), ("b", PEOPLE_B)):
+        spark.sql(q.replace("from customer", "from {customer}"), customer=customer).write.parquet(f"{path}/{side}")
+    return tuple(spark.read.parquet(f"{path}/{side}") for side in "ab")
 
 
 VARIABLES = [
@@ -49,6 +53,8 @@ ROSTER = {
     "idvar": ["id_a", "id_b"],
     "comparisons": {"name": "total", "variables": [{"varname": v, "method": "jarowinkler"} for v in ("first", "middle", "last")] + [{"varname": "house", "method": "numeric"}]},
 }
+#: The same with house numbers as an address field, and priors of how many match and how many of those moved.
+MOVED = {"idvar": ["id_a", "id_b"], "comparisons": ROSTER["comparisons"] | {"prior_lambda": 0.0005, "w_lambda": 0.3, "prior_pi": 0.1, "w_pi": 0.4, "address_field": [False, False, False, True]}}
 #: Seven variables, an address as a comparison of its own, priors, and term frequencies on most of them.
 HOUSEHOLD = {
     "idvar": ["id_a", "id_b"],
@@ -166,10 +172,7 @@ PATTERN_SQL = f"""{WITH}, g as (select
 
 
 def level_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = pattern_table(spark, sf_dir)
-    long = t.select("counts", F.explode(F.array(*(F.struct(F.lit(i).alias("variable"), F.col(f"gamma_{i}").alias("level")) for i in range(1, 5)))).alias("x")).select("counts", "x.*")
-    n = t.agg(F.sum("counts").alias("n"))
-    return long.groupBy("variable", "level").agg(F.sum("counts").alias("s")).crossJoin(F.broadcast(n)).select("variable", "level", F.round(F.col("s") / F.col("n"), 9).alias("share"))
+    return link(*sides(spark, sf_dir), CONFIG).level_shares.withColumn("share", F.round("share", 9))
 
 
 LEVEL_SQL = (
@@ -209,6 +212,28 @@ def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(name, x.where(TRUE).count() >= 0.9 * planted) for name, x in found], "comparison string, found_nine_tenths boolean")
 
 
+def csv_scan(limit: int | None = None) -> Callable[[SparkSession, str], DataFrame]:
+    """Side B as CSV with tokens in place of nulls, written and appended to, read again with types inferred."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = f"{tables.scratch(spark)}/csv-{uuid.uuid4().hex}"
+        token = F.element_at(F.array(*map(F.lit, tables.MORE_NULL_TOKENS)), (F.col("id_b") % len(tables.MORE_NULL_TOKENS) + 1).cast("int"))
+        b = sides(spark, sf_dir)[1]
+        told = b.select("id_b", "name", F.coalesce("brand", token).alias("brand"), F.when(F.col("id_b") % 3 == 0, token).otherwise(F.col("size").cast("string")).alias("size"), "price").orderBy("id_b").coalesce(1)
+        tables.write_csv(told.where("id_b < 1000100"), path, append=False)
+        tables.write_csv(told.where("id_b >= 1000100"), path)
+        return tables.read_csv(spark, path, tables.MORE_NULL_TOKENS, limit=limit)
+
+    return run
+
+
+def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sizes of both tables, and the observed patterns as text."""
+    got = link(*sides(spark, sf_dir), CONFIG)
+    n = got.summary
+    return spark.createDataFrame([(i, "".join(map(str, p)), n["obs_a"], n["obs_b"]) for i, p in enumerate(got.patterns_b)], "pattern_id long, pattern string, obs_a long, obs_b long")
+
+
 def scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = sides(spark, sf_dir)
     pair = a.join(b, F.col("id_a") + 1000000 == F.col("id_b"))
@@ -266,7 +291,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "household_address": _of(HOUSEHOLD, lambda x: x.children["address"].decided(), people),
     "household_matches": _of(HOUSEHOLD, _listed, people),
     "household_tf": _of(HOUSEHOLD, _adjusted, people),
+    "moved_patterns": _of(MOVED, _patterns, people),
     "planted_truth": _truth,
+    "csv_scan": csv_scan(),
+    "csv_scan_limit": lambda s, d: csv_scan(25)(s, d).agg(F.count("*").alias("n_rows")),
+    "link_outputs": outputs,
+    "upper_case": lambda s, d: tables.upper(s.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name", "p_brand"), "p_name"),
     "link_six": six(False),
     "link_six_tf": six(True),
 }
@@ -316,7 +346,9 @@ HOUSEHOLD_SQL = (
     + oracles.pairs("t", [FIRST, oracles.equal("middle"), oracles.jaro_winkler("last"), oracles.equal("born"), WITHIN], " left join f on a.first = f.va and b.first = f.vb left join d on a.id_a = d.id_a and b.id_b = d.id_b")
     + f", {oracles.em('t', [THREE, TWO, THREE, TWO, TWO], 0.000001, 0.5)}"
 )
-SIX_SQL = f"{PEOPLE}, {oracles.pairs('t', [x for x in (oracles.jaro_winkler('first'), oracles.jaro_winkler('street'), oracles.equal('middle')) for _ in '12'])}, {oracles.em('t', [THREE] * 4 + [TWO] * 2)}"
+MOVED_SQL = f"{PEOPLE}, {oracles.pairs('t', [*map(oracles.jaro_winkler, ('first', 'middle', 'last')), oracles.near('house')])}, {oracles.em('t', [THREE] * 4, 0.0005, 0.3, address=(3,), prior_pi=0.1, w_pi=0.4)}"
+TWICE = PEOPLE.replace("recursive a as", "recursive a0 as").replace(", b as", ", b0 as") + "".join(f", {x} as (select *, first as first1, street as street1, middle as middle1 from {x}0)" for x in "ab")
+SIX_SQL = f"{TWICE}, {oracles.pairs('t', [x for x in (oracles.jaro_winkler('first'), oracles.jaro_winkler('street'), oracles.equal('middle')) for _ in '12'])}, {oracles.em('t', [THREE] * 4 + [TWO] * 2)}"
 
 
 def _list_sql(k: int, threshold: float) -> str:
@@ -363,5 +395,12 @@ ORACLES |= {
     "household_matches": HOUSEHOLD_SQL + _list_sql(5, 0.88),
     "household_tf": f"{HOUSEHOLD_SQL}, {oracles.adjusted('t', 5, [(1, 'first', 'fuzzy', 1.0), (3, 'last', 'string', 1.0)])}" + _tf_sql("t", ["first", "last"], 0.88),
     "planted_truth": "select unnest(['roster', 'household']) as comparison, true as found_nine_tenths",
+    "moved_patterns": MOVED_SQL + _pattern_sql(4, 0.85),
+    "csv_scan": f"{WITH} select id_b, name, brand, case when id_b % 3 <> 0 then size end as size, price from b",
+    "csv_scan_limit": "select 25 as n_rows",
+    "link_outputs": LINKED + " select pattern_id, concat(gamma_1, gamma_2, gamma_3, gamma_4) as pattern, (select count(*) from a) as obs_a, (select count(*) from b) as obs_b from t_p",
+    "upper_case": "select p_partkey, upper(p_name) as p_name, p_brand from part",
     "link_six": SIX_SQL + _list_sql(6, 0.88),
+    "link_six_tf": f"{SIX_SQL}, {oracles.adjusted('t', 6, [(i, v, kind, 1.0) for i, (v, kind) in enumerate([(f'{v}{n}', 'exact' if m == 'exact' else 'string') for v, m in SIX_BASE for n in ('', '1')], 1)])}"
+    + _tf_sql("t", [f"{v}{n}" for v, _ in SIX_BASE for n in ("", "1")], 0.88),
 }

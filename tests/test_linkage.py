@@ -1,9 +1,11 @@
 """Linkage against plain loops over all pairs, golden values, and planted truth."""
 
 import itertools
+import json
 import math
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -13,9 +15,10 @@ from kindred.operators import compare
 from kindred.operators.link import Space, dense_pairs, gamma_pairs, get_matches, link, tf_adjusted
 from kindred.plans import config as cfg
 from kindred.plans import em
-from kindred.queries import QUERIES, sides
+from kindred import queries as registered
+from kindred.queries import HOUSEHOLD, ORACLES, QUERIES, sides
 from kindred.sources import tables
-from kindred.streaming.score import score_batch
+from kindred.streaming.score import score_batch, score_stream
 
 DIR = "/root/testdata/sf0.001"
 VARIABLES = [{"varname": "name", "method": "jarowinkler"}, {"varname": "brand", "method": "exact"}, {"varname": "size", "method": "numeric"}, {"varname": "price", "method": "exact"}]
@@ -161,6 +164,64 @@ def test_empty_tables(spark, people):
     assert got.fit.comparisons == 0 and got.matches().count() == 0 and not math.isnan(got.fit.p_m)
 
 
-def test_every_query_has_rows(spark):
-    for name in ("gamma_exact", "soundex", "link_parameters"):
-        assert QUERIES[name](spark, DIR).count()
+@pytest.mark.parametrize("name", ["gamma_exact", "gamma_osa", "gamma_ratcliff", "gamma_fuzzy", "soundex_people", "csv_scan", "link_summary", "link_patterns", "moved_patterns", "household_tf"])
+def test_queries_agree_with_sql(spark, name):
+    folder = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for table in ("part", "customer"):
+        con.execute(f"create view {table} as select * from read_parquet('{folder}/{table}.parquet')")
+    got = QUERIES[name](spark, folder)
+    want = con.execute(ORACLES[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(columns) == sorted(got.columns)
+    tidy = lambda rows: Counter(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in rows)
+    assert tidy(map(tuple, got.select(*columns).collect())) == tidy(want.fetchall())
+
+
+def test_household_finds_the_planted_pairs(spark):
+    a, b = registered.people(spark, "/root/testdata/sf0.01")
+    got = link(a, b, HOUSEHOLD)
+    found = {(r.id_a, r.id_b) for r in got.tf_matches().collect()}
+    planted = {(r.id_a, r.id_a + 1000000) for r in a.where("id_a % 4 <> 0").collect()}
+    assert len(planted & found) >= 0.99 * len(planted)
+    # those that agree so well that chance is ruled out are nearly all planted
+    sure = {(r.id_a, r.id_b) for r in got.tf_matches().where("final_weight > 12").collect()}
+    assert len(sure & planted) >= 0.95 * len(sure) and len(sure) >= 0.5 * len(planted)
+    assert got.fit.p_u >= 0.999 and got.children["address"].fit.p_m < 0.01
+    got.release()
+
+
+def test_stream(spark, tmp_path):
+    a, b = sides(spark, DIR)
+    config = {"idvar": ["id_a", "id_b"], "comparisons": {"variables": [*VARIABLES[:3], {"varname": "type", "method": "exact"}]}}
+    trained = link(a, b, config)
+    for i, part in enumerate(a.randomSplit([0.5, 0.5], 3)):
+        part.write.parquet(str(tmp_path / "in"), mode="append" if i else "error")
+    stream = spark.readStream.schema(a.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    sink = lambda df, n: df.write.mode("append").parquet(str(tmp_path / "out"))
+    query = score_stream(trained, stream, b, config, sink, str(tmp_path / "state"))
+    query.processAllAvailable()
+    query.stop()
+    found = spark.read.parquet(str(tmp_path / "out"))
+    assert {(r.id_a, r.id_b) for r in found.collect()} == {(r.id_a, r.id_b) for r in trained.matches().collect()}
+
+
+def test_em_from_a_seed():
+    patterns, counts = np.array(list(itertools.product([0, 1, 2], [0, 2]))), np.array([90000, 300, 200, 900, 20, 400])
+    mean, one, again, other = (em.fit(patterns, counts, (1000, 100), ["x", "y"], seed=x) for x in (None, 1, 1, 2))
+    assert one.p_m == again.p_m and one.iterations == again.iterations and (one.zeta == again.zeta).all()
+    assert all(f.p_m == pytest.approx(mean.p_m, rel=0.05) for f in (one, other))
+
+
+def test_configuration_file(tmp_path):
+    (tmp_path / "c.json").write_text(json.dumps(HOUSEHOLD))
+    levels = cfg.parse(cfg.load(str(tmp_path / "c.json")))
+    assert [c.name for c in levels] == ["address", "total"] and levels[1].em["prior_lambda"] == 1e-6 and levels == cfg.parse(HOUSEHOLD)
+
+
+def test_inferred_types(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("i,f,d,t,s,none,b\n1,1.5,2020-01-02,2020-01-02 03:04:05,x,NA,true\n\n2,NaN,2021-02-03,2021-02-03 00:00:00,NULL,,false\nNull,3,NA,NA,7,NaN,NA\n")
+    df = tables.read_csv(spark, str(tmp_path / "x.csv"), tables.MORE_NULL_TOKENS)
+    assert [t for _, t in df.dtypes] == ["bigint", "double", "date", "timestamp", "string", "string", "boolean"] and df.count() == 3
+    assert [(r.i, r.f, r.s) for r in df.collect()] == [(1, 1.5, "x"), (2, None, None), (None, 3.0, "7")]
+    assert tables.read_csv(spark, str(tmp_path / "x.csv"), limit=2).count() == 2
