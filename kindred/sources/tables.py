@@ -27,8 +27,8 @@ def with_nulls(df: DataFrame, tokens: tuple[str, ...] = NULL_TOKENS) -> DataFram
     return df.select(*(F.when(~F.col(c).isin(*tokens), F.col(c)).alias(c) if c in text else F.col(c) for c in df.columns))
 
 
-#: Types that a column of text is tried for, narrowest first.
-TRIED = ("bigint", "double", "date", "timestamp", "boolean")
+#: Types that a column of text is tried for, narrowest first, and what its values must look like besides being castable.
+TRIED = {"bigint": "^[-+]?[0-9]+$", "double": "[0-9]", "date": "^[0-9]{4}-[0-9]{2}-[0-9]{2}$", "timestamp": "^[0-9]{4}-", "boolean": "(?i)^(true|false)$"}
 
 
 def inferred(df: DataFrame) -> DataFrame:
@@ -36,7 +36,8 @@ def inferred(df: DataFrame) -> DataFrame:
     text = [c for c, t in df.dtypes if t == "string"]
     if not text:
         return df
-    tests = [F.count_if(F.col(c).isNotNull() & F.expr(f"try_cast(`{c}` as {t})").isNull()).alias(f"{i}_{t}") for i, c in enumerate(text) for t in TRIED]
+    fits = lambda c, t: F.col(c).rlike(TRIED[t]) & F.col(c).try_cast(t).isNotNull()
+    tests = [F.count_if(~fits(c, t)).alias(f"{i}_{t}") for i, c in enumerate(text) for t in TRIED]
     odd = df.agg(*tests, *(F.count(c).alias(f"{i}_n") for i, c in enumerate(text))).first()
     kinds = {c: next((t for t in TRIED if odd[f"{i}_n"] and not odd[f"{i}_{t}"]), "string") for i, c in enumerate(text)}
     return df.select(*(F.col(c).cast(kinds.get(c, t)).alias(c) for c, t in df.dtypes))
