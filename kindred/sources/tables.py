@@ -37,7 +37,7 @@ def inferred(df: DataFrame) -> DataFrame:
     if not text:
         return df
     fits = lambda c, t: F.col(c).rlike(TRIED[t]) & F.col(c).try_cast(t).isNotNull()
-    tests = [F.count_if(~fits(c, t)).alias(f"{i}_{t}") for i, c in enumerate(text) for t in TRIED]
+    tests = [F.count_if(F.col(c).isNotNull() & ~fits(c, t)).alias(f"{i}_{t}") for i, c in enumerate(text) for t in TRIED]
     odd = df.agg(*tests, *(F.count(c).alias(f"{i}_n") for i, c in enumerate(text))).first()
     kinds = {c: next((t for t in TRIED if odd[f"{i}_n"] and not odd[f"{i}_{t}"]), "string") for i, c in enumerate(text)}
     return df.select(*(F.col(c).cast(kinds.get(c, t)).alias(c) for c, t in df.dtypes))
