@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .store import dropped, unused, written
+from .store import dropped, running, unused, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 LEVEL_BITS = 12
@@ -33,19 +33,18 @@ def sized(docs: DataFrame) -> DataFrame:
 def targets(rows: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """source, source_size, target. Sources in order of code points, null last, weigh `weights` in turn; `share` times all sizes are
     shared by weight, no source gets over `most` times its size, and what is cut off goes to the others by weight."""
-    by_name = W.orderBy(F.col("source").asc_nulls_last())
-    t = rows.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("rank", F.row_number().over(by_name))
-    t = t.withColumn("w", F.element_at(F.array(*map(F.lit, map(float, weights))), (F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1).cast("int")))
-    t = t.withColumn("cap", most * F.col("source_size"))
-    by_ratio = W.orderBy(F.col("cap") / F.col("w"), "rank")
-    before = by_ratio.rowsBetween(W.unboundedPreceding, -1)
-    everything = W.partitionBy()
-    t = t.withColumn("rest", share * F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-    t = t.withColumn("rate", F.col("rest") / (F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0))))
+    # rank is over source names, kept under another name; a null source is last
+    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    t = running(sums, [F.col("source").asc_nulls_last()], []).withColumnRenamed("rank", "number")
+    t = t.withColumn("w", F.element_at(F.array(*map(F.lit, map(float, weights))), (F.pmod(F.col("number") - 1, F.lit(len(weights))) + 1).cast("int")))
+    t = t.withColumn("cap", most * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("w"))
+    t = running(t, [F.col("ratio"), F.col("number")], ["cap", "w"])
+    size, weight = t.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0.0))).first()
+    rate = (share * F.lit(size) - F.col("before_cap")) / (F.lit(weight) - F.col("before_w"))
     # the first source, from the smallest ratio on, whose cap isn't reached sets the rate for itself and all after it
-    rate = F.min(F.when(F.col("cap") > F.col("rate") * F.col("w"), F.struct("cap_rank", "rate"))).over(everything)["rate"]
-    t = t.withColumn("cap_rank", F.row_number().over(by_ratio)).withColumn("final", rate)
-    return t.select("source", "source_size", F.when(F.col("final").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("final") * F.col("w"))).alias("target"))
+    final = t.withColumn("rate", rate).agg(F.min_by("rate", F.when(F.col("cap") > F.col("rate") * F.col("w"), F.col("rank")))).first()[0]
+    target = F.col("cap") if final is None else F.least("cap", F.lit(final) * F.col("w"))
+    return t.select("source", "source_size", target.alias("target"))
 
 
 def thresholds(rows: DataFrame, goal: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -49,6 +50,24 @@ def unused(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+def running(df: DataFrame, order: list[Column], sums: list[str]) -> DataFrame:
+    """df with rank, its rows' places from 1 in the order, and before_<c>, the sum of each column c over the rows before.
+
+    Rows are dealt by ranges of the order and numbered within each; only the ranges' totals are put in order in one task. The order must
+    tell all rows apart.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(df.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "ranged")
+    totals = ranged.groupBy("part").agg(F.count("*").alias("rows"), *(F.sum(c).alias(f"sum_{c}") for c in sums))
+    earlier = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    zero = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    offsets = totals.select("part", zero("rows", earlier).alias("rows"), *(zero(f"sum_{c}", earlier).alias(f"sum_{c}") for c in sums))
+    within = W.partitionBy("part").orderBy(*order)
+    above = within.rowsBetween(W.unboundedPreceding, -1)
+    placed = ranged.join(F.broadcast(offsets), "part")  # at most `parts` rows
+    return placed.select(*df.columns, (F.col("rows") + F.row_number().over(within)).alias("rank"), *((F.col(f"sum_{c}") + zero(c, above)).alias(f"before_{c}") for c in sums))
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges (a, b), by alternating large-star and small-star rounds.
 
