@@ -24,6 +24,8 @@ from kindred.llm.store import components, shared_folder, unused
 from kindred.llm.tiling import contaminated, tiles, uncontaminated
 from kindred.llm.words import PLAIN, SPACED, text_chunks, words_of
 
+from .plain import jaccard_classes, plain_coverage, plain_difference, words
+
 EXTRA = "h long, row long, s string, size string, node string, __h string, key string, count string"
 SCHEMA = f"doc_id long, text string, lang string, source string, n_chars long, {EXTRA}"
 LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(30_000))
@@ -51,10 +53,6 @@ def none(spark):
     return frame(spark, [])
 
 
-def words(text, pattern=r"[^\x20\x09-\x0D]+"):
-    return re.findall(pattern, re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-
-
 def test_words_of():
     import pyarrow as pa
 
@@ -89,25 +87,6 @@ def test_components(spark):
     assert {(r.v, r.root) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == {(x, top(x)) for x in list(up)}
 
 
-def jaccard_classes(rows, k, percent):
-    sets = []
-    for i, text in rows:
-        w = words(text)
-        sets.append({tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set()))
-    group = list(range(len(rows)))
-    for a in range(len(rows)):
-        for b in range(a):
-            x, y = sets[a], sets[b]
-            if x and y and 100 * len(x & y) >= percent * len(x | y):
-                old, new = group[a], group[b]
-                group = [new if g == old else g for g in group]
-    least = {}
-    for g, (i, _) in zip(group, rows, strict=True):
-        if i is not None:
-            least[g] = min(least.get(g, i), i)
-    return Counter((i, len(s), least.get(g) if s else i) for (i, _), s, g in zip(rows, sets, group, strict=True))
-
-
 def test_near_text(spark, docs, none):
     rng = np.random.default_rng(3)
     base = [" ".join(f"t{x}" for x in rng.integers(0, 10**6, 120)) for _ in range(6)]
@@ -139,6 +118,22 @@ def test_near_text_bridge(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(table.where("doc_id < 201"), k=4, node_limit=50).collect()) == jaccard_classes(rows[:-1], 4, 80)
 
 
+def test_recall_where_nodes_branch(spark):
+    # texts that share a third of their shingles fill the nodes beyond the limit, so that these branch twice; pairs lie just above 0.8
+    rng = np.random.default_rng(17)
+    common, rows, want = [f"c{i}" for i in range(45)], [], 0
+    for i in range(1200):
+        own = [f"o{i}x{j}" for j in range(85)]
+        other = [*own[:-7], *(f"n{i}x{j}" for j in range(7))] if i % 2 else [f"o{i}y{j}" for j in range(85)]
+        rows += [(2 * i, " ".join(common + own)), (2 * i + 1, " ".join(common + other))]
+        want += i % 2
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    near = {i for i in range(0, 2400, 2) if 100 * len(sets[i] & sets[i + 1]) >= 80 * len(sets[i] | sets[i + 1])}
+    assert len(near) == want and len(sets[0] & sets[2]) / len(sets[0] | sets[2]) < 0.5
+    found = {r.component_id for r in near_duplicates(frame(spark, [(*r, "en", "a") for r in rows]), k=5, node_limit=40).collect() if r.doc_id % 2 and r.component_id < r.doc_id}
+    assert found <= near and len(found) >= 0.99 * len(near)
+
+
 def test_one_of_each(spark, docs, none):
     kept = one_of_each(docs, k=4)
     assert kept.columns == docs.columns
@@ -295,28 +290,6 @@ def test_tiles_are_greedy():
         assert all((a[i : i + n] == b[j : j + n]).all() and n >= run for i, j, n in got)
 
 
-def plain_coverage(text, item, run):
-    """Words of item that the plain greedy tiling covers, and its tiles."""
-    a, b = (words(x, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+") for x in (text, item))
-    run = min(run, len(b))
-    used_a, used_b, out = set(), set(), []
-    while run:
-        best = (0, 0, 0)
-        for i in range(len(a)):
-            for j in range(len(b)):
-                n = 0
-                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and i + n not in used_a and j + n not in used_b:
-                    n += 1
-                if n > best[0]:
-                    best = (n, i, j)
-        if best[0] < run:
-            break
-        out.append(best[0])
-        used_a |= set(range(best[1], best[1] + best[0]))
-        used_b |= set(range(best[2], best[2] + best[0]))
-    return sum(out), len(out), len(b)
-
-
 def test_tables_are_tiled_as_plainly(spark, monkeypatch):
     rng = np.random.default_rng(21)
     pick = lambda n: " ".join(rng.choice(list("abcdefg"), n))
@@ -383,18 +356,6 @@ def test_mixing(spark, docs, none):
     assert {tuple(r) for r in mixed_documents(clash).collect()} == {(1, "a b c", "x", "1", "2", "3", "4", "5")}
 
 
-def plain_difference(sizes, shards):
-    """Sums by Karmarkar-Karp differencing: of the partial partitions, the two of largest spread are added, largest to smallest."""
-    held = [[z] + [0] * (shards - 1) for z in sizes]
-    total = [0] * shards
-    while len(held) > 1:
-        # the largest spread, of equal ones the oldest
-        a = held.pop(max(range(len(held)), key=lambda i: (held[i][0] - held[i][-1], -i)))
-        b = held.pop(max(range(len(held)), key=lambda i: (held[i][0] - held[i][-1], -i)))
-        held.append(sorted((x + y for x, y in zip(a, reversed(b), strict=True)), reverse=True))
-    return held[0] if held else total
-
-
 def test_sharding(spark, docs, none):
     assert sorted(Counter(zip(difference([8, 7, 6, 5, 4], 2), [8, 7, 6, 5, 4], strict=True)).elements())[0] is not None
     assert sorted(sum(z for s, z in zip(difference([8, 7, 6, 5, 4], 2), [8, 7, 6, 5, 4], strict=True) if s == x) for x in (0, 1)) == [14, 16]
