@@ -51,8 +51,8 @@ def features(data: np.ndarray, start: np.ndarray, stop: np.ndarray, key: np.ndar
     return place, np.searchsorted(owner[order], np.arange(len(start)))
 
 
-def marginals(emission: np.ndarray, text: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Posteriors of each word [n, k], and expected transitions [k, k].
+def marginals(emission: np.ndarray, text: np.ndarray, trans: np.ndarray, transitions: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """Posteriors of each word [n, k], and, if asked for, expected transitions [k, k].
 
     emission: scores of each word; text: non-decreasing numbers of the words' texts; trans: transition scores. A text begins in an even mix.
     """
@@ -104,8 +104,11 @@ def marginals(emission: np.ndarray, text: np.ndarray, trans: np.ndarray) -> tupl
         new /= new.sum(1, keepdims=True)
         z = np.where(real[:, j, None], new, z)
     f, r = forward[b, s], backward[b, s]
+    del forward, backward
     post = f * r
     post /= post.sum(1, keepdims=True)
+    if not transitions:
+        return post, None
     inner = np.flatnonzero(t > 0)
     right = e[b, s][inner] * r[inner]
     pair_sum = np.einsum("ni,ij,nj->n", f[inner - 1], step, right)
@@ -113,7 +116,7 @@ def marginals(emission: np.ndarray, text: np.ndarray, trans: np.ndarray) -> tupl
     return post, expected
 
 
-def _texts(column: pa.Array, limit: int = 1 << 20):
+def _texts(column: pa.Array, limit: int = 1 << 18):
     for row, end, data, offsets in text_chunks(column, limit):
         yield row, end, data, offsets, *words_of(data, offsets, LETTERS)
 
@@ -161,7 +164,7 @@ def _labelled(model: dict, column: pa.Array):
             unique, at, back = np.unique(h, return_index=True, return_inverse=True)
             place, begin = features(data, start[at], stop[at], unique)
             emission = np.add.reduceat(model["weights"][place], begin)[back.ravel()]
-            yield row, end, data, offsets, text, start, stop, marginals(emission, text, model["trans"])[0]
+            yield row, end, data, offsets, text, start, stop, marginals(emission, text, model["trans"], False)[0]
 
 
 def predict(model: dict, column: pa.Array) -> tuple[list[str], np.ndarray]:
