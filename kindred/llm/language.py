@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import small_batches
 from .words import LETTERS, LOWER, mixed, text_chunks, words_of
 
 TABLE = 1 << 16
@@ -192,6 +193,7 @@ def train(docs: DataFrame, rows_per_language: int = 150) -> dict:
 
     The bound holds for what is fitted on; every text is predicted.
     """
+    small_batches(docs.sparkSession)
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = known.groupBy("lang").count()
     part = F.least(F.lit(1.0), F.lit(float(rows_per_language)) / F.col("count"))

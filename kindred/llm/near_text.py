@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, StructField, StructType
 
-from .store import components, dropped, unused, written
+from .store import components, dropped, small_batches, unused, written
 from .words import SPACED, distinct_by_text, mixed, shingles_of, text_chunks, words_of
 
 BYTES = 128  # of a signature
@@ -68,6 +68,7 @@ def _set_ids(value: np.ndarray, begin: np.ndarray) -> list[bytes]:
 def signatures(docs: DataFrame, k: int, trees: int) -> DataFrame:
     """doc_id, n_shingles, sid (null: no shingles), sig, tokens of each row of docs(doc_id, text)."""
     width = BYTES + trees
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

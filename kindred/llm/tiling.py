@@ -17,7 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import small_batches, written
 from .words import PLAIN, shingles_of, text_chunks, words_of
 
 BLOCK_BYTES = 32 << 20  # of benchmark texts that are broadcast at once; more go block by block
@@ -153,6 +153,7 @@ def _by_block(docs: DataFrame, benchmark: DataFrame, least: int, apply, gather)
 
     With more than one block each result is written, so that one index at a time is held.
     """
+    small_batches(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-size // BLOCK_BYTES))
