@@ -8,6 +8,7 @@ so that numpy handles all texts of a batch at once.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,7 @@ from .words import LETTERS, LOWER, mixed, text_chunks, words_of
 
 TABLE = 1 << 16
 STEP = 32  # words of a block
+PORTION = 1 << 14  # words whose posteriors are held at once while fitting; longer texts are held whole
 UNKNOWN = "und"
 EMPTY = {"langs": [], "weights": np.zeros((TABLE, 0), np.float32), "trans": np.zeros((0, 0))}
 
@@ -122,19 +124,43 @@ def _texts(column: pa.Array, limit: int = 1 << 18):
         yield row, end, data, offsets, *words_of(data, offsets, LETTERS)
 
 
+def _whole(text: np.ndarray) -> Iterator[slice]:
+    """Slices of words of whole texts, of at most PORTION words or of one text."""
+    ends, begin = np.append(np.flatnonzero(np.diff(text)) + 1, len(text)), 0
+    while begin < len(text):
+        i = int(np.searchsorted(ends, begin + PORTION, "right")) - 1
+        end = int(ends[i] if i >= 0 and ends[i] > begin else ends[i + 1])
+        yield slice(begin, end)
+        begin = end
+
+
+def _give_back() -> None:
+    """Returns freed memory to the system, where the C library can: the driver that has fitted a model goes on running."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def fit(sample: pa.Table, rounds: int = 16, rate: float = 0.4, decay: float = 0.01) -> dict:
     """Weights and transitions from texts and their languages; each word of a text is given the text's language. Without any word, none."""
     told, chunks = sample.column("lang").to_pylist(), list(_texts(sample.column("text").combine_chunks(), 1 << 62))
     if not chunks or not len(chunks[0][-1]):
         return dict(EMPTY)
-    _, _, data, _, text_no, start, stop, h = chunks[0]
+    _, _, data, _, text_no, start, stop, h = chunks.pop()
     langs = sorted({told[i] for i in np.unique(text_no).tolist()})  # those that have a text with a word
     number = {x: i for i, x in enumerate(langs)}
     truth_of = np.array([number.get(x, 0) for x in told], np.int64)
     unique, at, word_no = np.unique(h, return_index=True, return_inverse=True)
     word_no = word_no.ravel()
-    place, begin = features(data, start[at], stop[at], unique)
-    owner = np.repeat(np.arange(len(unique)), np.diff(np.append(begin, len(place))))
+    place, sizes = [], []
+    for i in range(0, len(unique), PORTION):
+        few = at[i : i + PORTION]
+        where, first = features(data, start[few], stop[few], unique[i : i + PORTION])
+        place.append(where.astype(np.int32))
+        sizes.append(np.diff(np.append(first, len(where))))
+    place, sizes = np.concatenate(place), np.concatenate(sizes)
+    begin, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(unique), dtype=np.int32), sizes)
     truth, k = truth_of[text_no], len(langs)
     share = np.bincount(truth, minlength=k)
     importance = (len(truth) / k / np.maximum(share, 1))[truth]  # languages count alike
@@ -143,13 +169,17 @@ def fit(sample: pa.Table, rounds: int = 16, rate: float = 0.4, decay: float = 0.
     seen = np.zeros((k, k))
     inner = np.flatnonzero(np.diff(text_no, prepend=-1) == 0)
     np.add.at(seen, (truth[inner - 1], truth[inner]), 1)
+    portions = list(_whole(text_no))
     for i in range(1, rounds + 1):
-        emission = np.add.reduceat(weights[place], begin)[word_no]
-        post, expected = marginals(emission, text_no, trans)
-        miss = -post
-        miss[np.arange(len(truth)), truth] += 1
-        miss *= importance[:, None]
-        by_word = np.column_stack([np.bincount(word_no, miss[:, j], len(unique)) for j in range(k)])
+        scores = np.column_stack([np.add.reduceat(weights[place, j], begin) for j in range(k)])
+        by_word, expected = np.zeros((len(unique), k)), np.zeros((k, k))
+        for part in portions:
+            post, passed = marginals(scores[word_no[part]], text_no[part], trans)
+            miss = -post
+            miss[np.arange(len(miss)), truth[part]] += 1
+            miss *= importance[part, None]
+            by_word += np.column_stack([np.bincount(word_no[part], miss[:, j], len(unique)) for j in range(k)])
+            expected += passed
         grad = np.column_stack([np.bincount(place, by_word[owner, j], TABLE) for j in range(k)]) / len(truth)
         for x, g, (m, v) in ((weights, grad - decay * weights / len(truth), state[0]), (trans, (seen - expected) / len(truth) - decay * trans, state[1])):
             m += 0.1 * (g - m)
@@ -203,7 +233,10 @@ def train(docs: DataFrame, rows_per_language: int = 150) -> dict:
     rate = F.element_at(F.create_map(*(x for k, v in rates.items() for x in (F.lit(k), F.lit(v)))), F.col("lang"))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     sample = known.where(draw < rate).select("doc_id", "lang", F.col("text").cast("string")).toArrow()
-    return fit(sample.sort_by([("lang", "ascending"), ("doc_id", "ascending")]))
+    model = fit(sample.sort_by([("lang", "ascending"), ("doc_id", "ascending")]))
+    del sample
+    _give_back()
+    return model
 
 
 def languages(docs: DataFrame, rows_per_language: int = 150) -> DataFrame:

@@ -8,10 +8,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from kindred.llm.chats import chat_digest, conversation_nodes, formatted_paths, paths, read_back
-from kindred.llm import tiling
+from kindred.llm import language, tiling
 from kindred.llm.language import in_a_language, language_spans, languages, marginals
 from kindred.llm.licenses import TEMPLATES, license_scan
 from kindred.llm.lm import looked_up, scores
@@ -237,6 +238,18 @@ def test_forward_backward():
     np.testing.assert_allclose(post, want / want.sum(1, keepdims=True), atol=1e-9)
 
 
+def test_fit_in_portions(monkeypatch):
+    texts = [EN, DE, f"{DE} {EN}", "", None, EN[:40], DE * 3]
+    sample = pa.table({"lang": ["en", "de", "en", "de", "en", "en", "de"], "text": texts})
+    whole = language.fit(sample)
+    monkeypatch.setattr(language, "PORTION", 3)
+    parts = language.fit(sample)
+    assert whole["langs"] == parts["langs"] == ["de", "en"]
+    assert np.allclose(whole["weights"], parts["weights"], atol=1e-4) and np.allclose(whole["trans"], parts["trans"], atol=1e-4)
+    text = np.repeat([0, 2, 3], [2, 5, 1])
+    assert [(p.start, p.stop) for p in language._whole(text)] == [(0, 2), (2, 7), (7, 8)]
+
+
 def test_language_spans(spark):
     rng = np.random.default_rng(2)
     vocabulary = {"en": EN.split(), "de": DE.split()}
