@@ -100,6 +100,24 @@ def agreeing_pairs(a: DataFrame, b: DataFrame, v: Variable, keep_a: tuple[str, .
     return agreeing_values(a, b, v).join(left, "va").join(right, "vb").select("id_a", "id_b", "gamma", *keep_a, *keep_b)
 
 
+def agreeing_totals(a: DataFrame, b: DataFrame, v: Variable) -> DataFrame:
+    """gamma, pairs, mark: of the pairs that agree, their number and the sum of the products of both sides' column `mark`.
+
+    Each value is a row with its count and its sum of marks, so that no pair of rows becomes a row. Both are decimals: products outgrow a long.
+    """
+    total = "decimal(38,0)"
+    left, right = (
+        x.where(F.col(v.name).isNotNull()).groupBy(F.col(v.name).alias(f"v{s}")).agg(F.count("*").cast(total).alias(f"n_{s}"), F.sum(F.col("mark").cast(total)).cast(total).alias(f"m_{s}"))
+        for x, s in ((a, "a"), (b, "b"))
+    )
+    if v.kind == "exact":
+        nan = ~F.isnan("va") if dict(left.dtypes)["va"] in ("double", "float") else F.lit(True)
+        met = left.where(nan).join(right, F.col("va") == F.col("vb")).withColumn("gamma", F.lit(MATCH).cast("byte"))
+    else:
+        met = agreeing_values(a, b, v).join(left, "va").join(right, "vb")
+    return met.groupBy("gamma").agg(F.sum(F.col("n_a") * F.col("n_b")).alias("pairs"), F.sum(F.col("m_a") * F.col("m_b")).alias("mark"))
+
+
 def term_frequencies(df: DataFrame, v: Variable, rows: int | None = None) -> DataFrame:
     """(v, tf): each value's share of all rows (counted unless told), nulls among them, at least the floor."""
     n = df.count() if rows is None else rows

@@ -178,6 +178,22 @@ def test_queries_agree_with_sql(spark, name):
     assert tidy(map(tuple, got.select(*columns).collect())) == tidy(want.fetchall())
 
 
+@pytest.mark.parametrize("name", ["gamma_exact", "gamma_exact_nulls_left", "gamma_numeric_one_cut", "gamma_float", "gamma_hamming"])
+def test_gammas_of_hot_values(spark, tmp_path, name):
+    """One part 400,000 times: 160 billion pairs, whose sum of marks outgrows a long."""
+    n = 400_000
+    part = "id as p_partkey", "'BLUE RING' as p_name", "'Brand#1' as p_brand", "'SMALL' as p_type", "7 as p_size", "900.5D as p_retailprice"
+    spark.range(n).selectExpr(*part).write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.gamma: (r.pairs, int(r.mark)) for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    key, rest = np.arange(n), {"gamma_exact": 3, "gamma_exact_nulls_left": 3, "gamma_numeric_one_cut": 0, "gamma_hamming": 1}
+    a = {"gamma_exact_nulls_left": key % 13 != 5}.get(name, key >= 0)
+    b = {"gamma_exact": key % 7 != 2, "gamma_numeric_one_cut": (key % 4 != 3) & (key % 9 != 4), "gamma_hamming": key % 5 != 1}.get(name, key >= 0)
+    total = lambda x, y: (int(x.sum()) * int(y.sum()), int(key[x].sum()) * int(((key[y] + 1000000) % 1009).sum()))
+    every, match = total(key >= 0, key >= 0), total(a, b)
+    others = {} if every == match else {rest[name]: (every[0] - match[0], every[1] - match[1])}
+    assert got == {2: match, **others} and every[1] > 2**63
+
+
 def test_household_finds_the_planted_pairs(spark):
     a, b = registered.people(spark, "/root/testdata/sf0.01")
     got = link(a, b, HOUSEHOLD)
