@@ -74,6 +74,30 @@ def test_nested_counts(spark, people):
     assert {(r.id_a, r.id_b) for r in got} == {k for k, g in want.items() if g in ((2, 2, 2), (0, 2, 0), (3, 2, 3))}
 
 
+def test_rows_are_not_broadcast(spark):
+    a, b = sides(spark, DIR)
+    space = Space(a, b, cfg.parse({"variables": [VARIABLES[1], {"varname": "type", "method": "exact"}, VARIABLES[3]]})[0], {})
+    plan = space.with_patterns(np.array([[2, 2, 0], [0, 2, 2]]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 1  # with the patterns
+
+
+def test_variables_twice(spark, people):
+    a, b, da, db = people
+    da, db = (x.selectExpr("*", "name as name1", "brand as brand1", "size as size1") for x in (da, db))
+    again = [{**VARIABLES[i], "varname": f"{VARIABLES[i]['varname']}1"} for i in (0, 1, 2)]
+    c = cfg.parse({"variables": [*VARIABLES[:3], *again]})[0]
+    want = {(x[0], y[0]): gammas(x, y)[:3] * 2 for x, y in itertools.product(a, b)}
+    space = Space(da, db, c, {}, tuples=0)
+    patterns, counts, _ = space.counts()
+    assert space.first_of() == {0: 0, 1: 1, 2: 2, 3: 0, 4: 1, 5: 2}
+    assert {tuple(p): n for p, n in zip(patterns.tolist(), counts.tolist(), strict=True)} == Counter(want.values())
+    wanted = [p for p in patterns.tolist() if any(g in (1, 2) for g in p)][::2]
+    got = space.with_patterns(np.array(wanted)).collect()
+    assert sorted((r.id_a, r.id_b) for r in got) == sorted(k for k, g in want.items() if list(g) in wanted)
+    other = Space(da.withColumn("name1", da.brand), db, c, {}, tuples=0)
+    assert other.first_of()[3] == 3
+
+
 def test_golden_similarities():
     for a, b, jw in (("MARTHA", "MARHTA", 0.961111), ("DIXON", "DICKSONX", 0.813333), ("JOHN", "JON", 0.933333), ("SMITH", "SMYTH", 0.893333), ("JENNIFER", "JENIFER", 0.970833), ("AB", "BA", 0.0)):
         assert sim.jaro_winkler(a, b) == pytest.approx(jw, abs=1e-6)
