@@ -81,6 +81,28 @@ def test_rows_are_not_broadcast(spark):
     assert plan.count("BroadcastHashJoin") == 1  # with the patterns
 
 
+def test_pairs_that_miss_a_value_are_made_alone(spark):
+    """Of 5 billion pairs with the same name, those in which one has no brand are listed, without making the others."""
+    n = 100_000
+    a = spark.range(n).selectExpr("id as id_a", "'ANNA' as name", "if(id < 5, null, 'x') as brand")
+    b = spark.range(n).selectExpr("id + 1000000 as id_b", "if(id % 2 = 0, 'ANNA', 'ANNE') as name", "if(id < 6, null, 'y') as brand")
+    space = Space(a, b, cfg.parse({"variables": VARIABLES[:2]})[0], {}, tuples=0)
+    found = space.with_patterns(np.array([[2, 3]]))
+    assert round(sim.jaro_winkler("ANNA", "ANNE"), 4) < 0.92 and found.count() == 5 * n // 2 + 3 * (n - 5)
+    assert space.masks() == ({0: n - 5, 2: 5}, {0: n - 6, 2: 6})
+
+
+def test_many_pairs_of_distinct_rows_are_not_met_one_by_one(spark):
+    for n, few in ((2_000, True), (40_000, False)):
+        a, b = (spark.range(n).selectExpr(f"id as id_{w}", "cast(id as string) as name", "cast(id % 7 as string) as brand") for w in "ab")
+        space = Space(a, b, cfg.parse({"variables": [{"varname": x, "method": "exact"} for x in ("name", "brand")]})[0], {})
+        assert (space._few() is not None) == few
+        patterns, counts, _ = space.counts()
+        least, more = divmod(n, 7)
+        agree = more * (least + 1) ** 2 + (7 - more) * least**2
+        assert dict(zip(map(tuple, patterns.tolist()), counts.tolist(), strict=True)) == {(0, 0): n * n - agree, (0, 2): agree - n, (2, 2): n}
+
+
 def test_variables_twice(spark, people):
     a, b, da, db = people
     da, db = (x.selectExpr("*", "name as name1", "brand as brand1", "size as size1") for x in (da, db))
